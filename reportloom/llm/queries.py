@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import groupsplit, topn
+from reportloom.llm import encode, groupsplit, leak, topn
 from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
@@ -38,10 +38,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_topn(spark, d).select("row_id", "candidate_index")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_documents(table(spark, d, "documents"))
+
+
+def _p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leak.passages(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.found(_p7_spans(spark, d))
+
+
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leak.cleaned(table(spark, d, "documents"), _p7_spans(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_linked,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
     "p3_found": p3_found,
     "p3_topn": p3_topn,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_cleaned": p7_cleaned,
 }
