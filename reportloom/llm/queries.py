@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reportloom.llm import encode, groupsplit, leak, topn
+from reportloom.llm import encode, groupsplit, leak, pii, topn
 from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
@@ -54,6 +54,14 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leak.cleaned(table(spark, d, "documents"), _p7_spans(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_linked,
     "p2_splits": p2_splits,
@@ -63,4 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
