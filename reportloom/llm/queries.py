@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportloom.llm import encode, groupsplit, leak, pii, topn
+from reportloom.llm import defects, encode, groupsplit, leak, pii, topn
 from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
@@ -23,8 +24,6 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return p2_splits(spark, d).groupBy("split").agg(
         F.count("*").alias("records"), F.count_distinct("cluster_id").alias("clusters")
     )
@@ -38,6 +37,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_topn(spark, d).select("row_id", "candidate_index")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    sheet, pairs = table(spark, d, "annotation_sheet"), table(spark, d, "dpo_pairs")
+    answers = sheet.select(
+        F.lit("annotation_sheet").alias("origin"), F.col("sheet_id").alias("record_id"), F.col("input_text").alias("prompt"),
+        F.col("gen_text").alias("answer"), F.col("generated_at").alias("at"),
+    ).unionByName(
+        pairs.select(
+            F.lit("dpo_pairs").alias("origin"), F.col("pair_id").alias("record_id"), "prompt", F.col("rejected").alias("answer"),
+            F.col("mined_at").alias("at"),
+        )
+    )
+    languages = defects.Languages(defects.language_sample(table(spark, d, "documents")))
+    endings = defects.Endings(defects.ending_sample(pairs.select(F.col("chosen").alias("text"))))
+    return defects.find(answers, languages, endings)
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p4_found(spark, d).groupBy("origin", "defect").agg(F.count("*").alias("records"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_documents(table(spark, d, "documents"))
 
@@ -68,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_shares": p2_shares,
     "p3_found": p3_found,
     "p3_topn": p3_topn,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
