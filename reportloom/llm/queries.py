@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import defects, encode, groupsplit, leak, pii, topn
+from reportloom.llm import consensus, defects, encode, groupsplit, leak, pii, topn
 from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
@@ -57,6 +57,43 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("origin", "defect").agg(F.count("*").alias("records"))
 
 
+def _p5_votes(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "entity_level_annota")
+    parts = [
+        both.select(
+            "entity_id", F.lit(who.upper()).alias("annotator"), F.col("labelled_at").alias("at"),
+            F.col(f"annot{who}_extraction").alias("extraction"), F.col(f"annot{who}_attribution").alias("attribution"),
+        )
+        for who in "ab"
+    ]
+    for name in ("gpt", "gemini"):
+        parts.append(
+            table(spark, d, f"result_{name}_merged").select(
+                "entity_id", F.lit(name).alias("annotator"), F.col("labelled_at").alias("at"), "extraction", "attribution"
+            )
+        )
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionByName(p)
+    return consensus.votes(entries)
+
+
+def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(consensus.fit(_p5_votes(spark, d), Scratch(spark, "p5")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_consensus(spark, d).where("consensus_label is not null").select("entity_id", "label_kind", "consensus_label")
+
+
+def p5_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.annotators(consensus.fit(_p5_votes(spark, d), Scratch(spark, "p5")))
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(_p5_votes(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_documents(table(spark, d, "documents"))
 
@@ -89,6 +126,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_topn": p3_topn,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_consensus": p5_consensus,
+    "p5_annotators": p5_annotators,
+    "p5_agreement": p5_agreement,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,

@@ -17,7 +17,44 @@ WITH entries AS (
 )
 """
 
+_P5 = """
+WITH entries AS (
+  SELECT entity_id, 'A' AS annotator, labelled_at AS stamp, annota_extraction AS ext, annota_attribution AS att FROM entity_level_annota
+  UNION ALL SELECT entity_id, 'B', labelled_at, annotb_extraction, annotb_attribution FROM entity_level_annota
+  UNION ALL SELECT entity_id, 'gpt', labelled_at, extraction, attribution FROM result_gpt_merged
+  UNION ALL SELECT entity_id, 'gemini', labelled_at, extraction, attribution FROM result_gemini_merged
+), marks AS (
+  SELECT entity_id, annotator, stamp, 'extraction' AS label_kind,
+         regexp_extract(replace(lower(ext), '_', ' '), '\\bt\\.? ?p\\b|true[ -]*pos|\\bf\\.? ?p\\b|false[ -]*pos') AS mark FROM entries
+  UNION ALL
+  SELECT entity_id, annotator, stamp, 'attribution',
+         regexp_extract(replace(lower(att), '_', ' '), 'un-?attribut|not[ -]+attribut|neither|retriev|\\binput') FROM entries
+), labels AS (
+  SELECT *, CASE WHEN label_kind = 'extraction' THEN CASE WHEN mark LIKE 't%' THEN 'TP' ELSE 'FP' END
+            ELSE CASE WHEN mark LIKE 'ret%' THEN 'retrieval' WHEN mark = 'input' THEN 'input' ELSE 'unattributed' END END AS label
+  FROM marks WHERE mark IS NOT NULL AND mark <> '' AND entity_id IS NOT NULL
+), votes AS (
+  SELECT entity_id, label_kind, annotator, label FROM (
+    SELECT *, row_number() OVER (PARTITION BY entity_id, label_kind, annotator ORDER BY stamp DESC NULLS LAST, label DESC) AS age FROM labels)
+  WHERE age = 1
+), counted AS (
+  SELECT entity_id, label_kind, label, count(*) AS c FROM votes GROUP BY ALL
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT row_id, candidate_index FROM ranked WHERE rank <= 3",
     "p3_topn": _P3 + "SELECT row_id, candidate_index, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 3",
+    "p5_found": _P5 + """
+SELECT entity_id, label_kind, label AS consensus_label FROM counted a
+WHERE c >= 2 AND NOT EXISTS (SELECT 1 FROM counted b WHERE b.entity_id = a.entity_id AND b.label_kind = a.label_kind
+                             AND b.label <> a.label AND b.c >= a.c)""",
+    "p5_agreement": _P5 + """
+, sized AS (SELECT *, sum(c) OVER (PARTITION BY entity_id, label_kind) AS m FROM counted),
+by_label AS (
+  SELECT label_kind, label, sum(c)::DOUBLE AS n, sum(c * (c - 1)::DOUBLE / (m - 1)) AS same, sum(c::DOUBLE / m) AS items
+  FROM sized WHERE m >= 2 GROUP BY ALL
+), total AS (SELECT label_kind, sum(n) AS n, sum(same) AS same, sum(n * (n - 1)) AS chance, sum(items) AS items FROM by_label GROUP BY ALL)
+SELECT label_kind, round(items)::BIGINT AS items, round(same / n, 6) AS observed,
+       round(1 - (1 - same / n) / (1 - chance / (n * (n - 1))), 6) AS alpha FROM total""",
 }
