@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportloom.llm import consensus, defects, encode, groupsplit, leak, pii, topn
+from reportloom.llm import consensus, defects, encode, groupsplit, leak, overlap, pii, topn
 from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
 
+def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "splits"), table(spark, d, "placeholders"), Scratch(spark, "p1"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(p1_overlaps(spark, d))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(p1_overlaps(spark, d))
+
+
 def p2_linked(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.clusters(
         table(spark, d, "splits"), table(spark, d, "split_seed42"), table(spark, d, "trackers"),
@@ -119,6 +131,9 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_overlaps": p1_overlaps,
+    "p1_report": p1_report,
     "p2_found": p2_linked,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
