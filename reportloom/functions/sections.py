@@ -59,7 +59,7 @@ def with_sections(rows: DataFrame, text: str, out: str) -> DataFrame:
             F.col("_line")[a - 1].alias("line"), F.array_join(F.slice(F.col("_raw"), a + 1, b - a - 1), "\n").alias("more")
         ),
     )
-    found = found.withColumn("_whole", F.filter(whole, lambda s: s["line"].isNotNull()))
+    found = found.withColumn("_whole", F.when(F.size("_from") > 0, whole).otherwise(F.slice(whole, 1, 0)))
     parts = F.transform(
         "_whole",
         lambda s: F.struct(

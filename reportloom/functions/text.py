@@ -13,7 +13,7 @@ ENTITY_PATTERNS = {
     "FLAG": r"\b[a-zA-Z_]+\.[a-zA-Z0-9_.]+\b(?::(?:true|false))?",
 }
 KINDS = tuple(ENTITY_PATTERNS)
-WORD = r"(?U)\w+"
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def fold(pattern: str) -> str:

@@ -33,7 +33,7 @@ def s_words(x: str) -> str:
 
 
 def s_tokens(x: str) -> str:
-    return f"list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: lower(w))"
+    return f"list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w))"
 
 
 ENT = {
