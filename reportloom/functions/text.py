@@ -175,3 +175,23 @@ def fitting_examples(sizes: Column, room: Column) -> Column:
     """How many leading examples fit into ``room`` tokens."""
     sums = F.transform(F.sequence(F.lit(0), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
     return F.array_max(F.transform(F.filter(F.sequence(F.lit(0), F.size(sizes)), lambda k: (k == 0) | (sums[k] <= room)), lambda k: k))
+
+
+def spans(x: Column, kind: str) -> Column:
+    """Array of (surface, start, end) of all matches; places come from the lengths of what lies between them."""
+    pattern = fold(ENTITY_PATTERNS[kind])
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    gaps = F.split(x, pattern, -1)
+    sizes = F.zip_with(F.slice(gaps, 1, F.greatest(F.lit(1), F.size(found))), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<surface:string,start:int,end:int>>").alias("out"))
+    walked = F.aggregate(
+        F.arrays_zip(found.alias("f"), sizes.alias("z")), start,
+        lambda acc, e: F.struct(
+            (acc["at"] + e["z"]["g"] + e["z"]["m"]).alias("at"),
+            F.concat(
+                acc["out"],
+                F.array(F.struct(e["f"].alias("surface"), (acc["at"] + e["z"]["g"]).alias("start"), (acc["at"] + e["z"]["g"] + e["z"]["m"]).alias("end"))),
+            ).alias("out"),
+        ),
+    )
+    return F.when(F.size(found) > 0, walked["out"]).otherwise(start["out"])

@@ -1 +1 @@
-
+"""Nothing streams here: the evaluated pipeline is batch only, see README."""

@@ -94,3 +94,11 @@ def test_rouge(spark):
     df = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b", "c"])], "a array<string>, b array<string>")
     r = df.select(*[c.alias(k) for k, c in scoring.rouge1(F.col("a"), F.col("b")).items()]).first()
     assert r.rouge1_r == pytest.approx(2 / 3) and r.rouge1_f1 == pytest.approx(2 * (2 / 4) * (2 / 3) / (2 / 4 + 2 / 3))
+
+
+@pytest.mark.parametrize("text", ["", "no entity", "a.b and c.d", "x.y", "see https://e.x/a.b, then www.q.r!", "é a.b漢 c.d"])
+def test_spans(spark, text):
+    for kind in tx.KINDS:
+        got = one(spark, text, lambda c, k=kind: tx.spans(c, k))
+        assert all(text[s.start : s.end] == s.surface for s in got)
+        assert [s.surface for s in got] == one(spark, text, lambda c, k=kind: tx.all_matches(c, k))
