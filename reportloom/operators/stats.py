@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportloom.operators.retrieval import draw
-
 
 def paired(values: DataFrame, key: str, condition: str, value: str, a: object, b: object, *groups: str) -> DataFrame:
     """(groups, key, a, b, delta): values of two conditions side by side, keys with both only.
@@ -106,21 +104,29 @@ def tau_b(rows: DataFrame, level: str, value: str, *groups: str, digits: int = 9
     return joined.select(*groups, F.col("n").cast("bigint").alias("n"), "n_levels", F.when(root > 0, F.col("s") / root).otherwise(0.0).alias("tau_b"))
 
 
-def bootstrap_means(values: DataFrame, index: str, value: str, draws: int, size: int, seed: int, *groups: str) -> DataFrame:
-    """(groups, b, m): means of ``draws`` resamples of ``size`` rows each.
+#: 32-bit limits of the Poisson distribution with mean one; a count is the number of limits at or below a draw.
+_POISSON = tuple(round((1 << 32) * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
 
-    ``index`` numbers the rows of a group from zero. The draws are hashes of seed, resample
-    and position, so any engine gives the same; they are made once and meet the groups by
-    index, in ``size * draws`` rows for each group.
+def bootstrap_means(values: DataFrame, key: str, value: str, draws: int, seed: int, *groups: str) -> DataFrame:
+    """(groups, b, m): means of ``draws`` resamples of all rows of a group.
+
+    ``key`` tells the rows apart. In each resample a row counts as often as a Poisson number with mean
+    one says, drawn by a hash of seed, resample and key. Null and NaN values are left out. Each task
+    sums its rows for every resample, so only sums are shuffled: groups times draws for each task.
     """
-    plan = (
-        values.sparkSession.range(draws * size)
-        .select(F.floor(F.col("id") / size).alias("b"), F.pmod("id", F.lit(size)).alias("i"))
-        .select("b", F.pmod(draw(F.lit(seed), F.col("b"), F.col("i")), F.lit(size)).alias(index))
-        .groupBy("b", index)
-        .agg(F.count("*").alias("times"))
-    )
-    return values.join(plan, index).groupBy(*groups, "b").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    spark = values.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = values.select(*groups, key, F.col(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)").repartition(tasks, key)
+    each = rows.select(*groups, key, "_x", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    # both halves, as one alone keeps a little of the key's order
+    hashed = F.xxhash64(F.lit(seed), "b", key)
+    drawn = each.withColumn("_u", hashed.bitwiseXOR(F.shiftrightunsigned(hashed, 32)).bitwiseAND(F.lit((1 << 32) - 1))).where(F.col("_u") >= _POISSON[0])
+    times = F.when(F.col("_u") < _POISSON[1], 1)
+    for k in range(2, len(_POISSON)):
+        times = times.when(F.col("_u") < _POISSON[k], k)
+    counted = drawn.select(*groups, "b", "_x", times.otherwise(len(_POISSON)).alias("_t"))
+    return counted.groupBy(*groups, "b").agg((F.sum(F.col("_x") * F.col("_t")) / F.sum("_t")).alias("m"))
 
 
 def interval(means: DataFrame, *groups: str, alpha: float = 0.05) -> DataFrame:

@@ -157,6 +157,9 @@ def sta06(spark: SparkSession, d: str) -> DataFrame:
     return stats.tau_b(candidates(spark, d).where("model is not null"), "k", "ua", "model").withColumn("tau_b", F.round("tau_b", 6))
 
 
+#: Resamples of the query, each of all rows.
+_DRAWS = 10_000
+#: Resamples and rows of the SQL, which stays a prefix of the table: its intervals aren't the query's.
 _B, _N = 200, 200
 
 
@@ -167,10 +170,7 @@ _B, _N = 200, 200
     " SELECT g, round(quantile_cont(round(m, 9), 0.025), 4) AS ci_lo, round(quantile_cont(round(m, 9), 0.975), 4) AS ci_hi FROM m GROUP BY g",
 )
 def sta01(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "events").select(F.col("event_type").alias("g"), "value", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("i"))
-    means = stats.bootstrap_means(rows.where(F.col("i") < _N), "i", "value", _B, _N, 11, "g")
+    means = stats.bootstrap_means(table(spark, d, "events").withColumnRenamed("event_type", "g"), "event_id", "value", _DRAWS, 11, "g")
     return stats.interval(means, "g").select("g", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
 
 
