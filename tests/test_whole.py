@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from reportloom.plans import queries
@@ -11,3 +13,10 @@ def test_bootstrap_takes_all_rows(spark, tmp_path):
     got = {r.g: (r.ci_lo, r.ci_hi) for r in queries.QUERIES["sta01_bootstrap"](spark, str(tmp_path)).collect()}
     half = 1.96 * (0.8 * 0.2 / 1000) ** 0.5
     assert got["a"] == pytest.approx((0.8 - half, 0.8 + half), abs=0.002) and got["b"] == (3.0, 3.0)
+
+
+def test_tokens_of_long_texts(spark, tmp_path):
+    texts = {1: "Ab, c_1!", 2: "Größe: 3,5 ok " * 400, 3: "x" * 30_000, 4: None, 5: "", 6: "a" * 2999, 7: "b" * 3000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in queries.QUERIES["txt01_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {i: [w.lower() for w in re.findall(r"\w+", t)] for i, t in texts.items() if t is not None}
