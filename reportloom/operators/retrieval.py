@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions.scoring import cosine
 from reportloom.functions.text import tokens
+from reportloom.session import Scratch
 
 #: Bytes of query vectors that one broadcast block may hold.
 BLOCK_ROWS = 2000
@@ -103,22 +104,51 @@ def draw(*parts: Column) -> Column:
 
 
 def random_k(queries: DataFrame, groups: DataFrame, k: int, seed: int, tries: int = 4) -> DataFrame:
-    """(q, doc, rank): k documents of other groups for each query, by hash.
+    """(q, doc, rank): k documents of other groups for each query, or all there are, by hash.
 
-    Instead of ranking all pairs, each query draws numbers and takes the documents whose own
-    place on the hash ring follows next, ``tries * k`` of them, so that enough remain after
-    the query's own group is left out.
+    Each query has a place on a hash ring and takes the documents whose own places follow next.
+    A group that holds more than half of the documents (one at most) gets a ring without them, so
+    that at least about half of what any query meets counts.
     """
-    ring = groups.select(F.col("id").alias("doc"), F.col("group_id").alias("_gd"), draw(F.lit(seed), F.col("id")).alias("at"))
+    top = groups.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()
     total = groups.count()
-    span = max(1, (1 << 32) * tries * k // max(1, total))
-    spots = queries.select(F.col("id").alias("q"), F.col("group_id").alias("_gq"), draw(F.lit(seed + 1), F.col("id")).alias("p"))
-    cell = spots.select("q", "_gq", "p", F.explode(F.array(F.floor(F.col("p") / span), F.floor(F.col("p") / span) + 1)).alias("cell"))
-    met = cell.join(ring.withColumn("cell", F.floor(F.col("at") / span)), "cell")
-    away = F.pmod(F.col("at") - F.col("p"), F.lit(1 << 32))
-    fine = met.where((F.col("q") != F.col("doc")) & (F.col("_gq").isNull() | F.col("_gd").isNull() | (F.col("_gq") != F.col("_gd"))) & (away < span))
-    order = Window.partitionBy("q").orderBy(away, "doc")
-    return fine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "doc", "rank")
+    if not top or 2 * top[0].n <= total:
+        return _next_k(queries, groups, total, k, seed, tries)
+    own = F.col("group_id").eqNullSafe(F.lit(top[0].group_id))
+    rest = _next_k(queries.where(~own), groups, total, k, seed, tries)
+    return rest.unionByName(_next_k(queries.where(own), groups.where(~own), total - top[0].n, k, seed, tries))
+
+
+def _next_k(queries: DataFrame, groups: DataFrame, total: int, k: int, seed: int, tries: int) -> DataFrame:
+    """(q, doc, rank): the next k documents of other groups on the ring.
+
+    The first round searches a span that holds ``tries * k`` documents on average; each further one twice
+    the span for the queries still short of k, until none is or the span is the whole ring.
+    """
+    scratch, whole = Scratch(queries.sparkSession, "random"), 1 << 32
+    ring = groups.select(F.col("id").alias("doc"), F.col("group_id").alias("_gd"), draw(F.lit(seed), F.col("id")).alias("at"))
+    left = queries.where("id is not null").select(F.col("id").alias("q"), F.col("group_id").alias("_gq"), draw(F.lit(seed + 1), F.col("id")).alias("p"))
+    span = min(whole, max(1, whole * tries * k // max(1, total)))
+    order = Window.partitionBy("q").orderBy("away", "doc")
+    out = None
+    while True:
+        # the span's first cell, the next and that of its end, which differs where the last cell is narrow
+        first, cells = F.floor(F.col("p") / span), -(-whole // span)
+        touched = F.array_distinct(F.array(first, F.pmod(first + 1, F.lit(cells)), F.floor(F.pmod(F.col("p") + span, F.lit(whole)) / span)))
+        met = left.withColumn("cell", F.explode(touched)).join(ring.withColumn("cell", F.floor(F.col("at") / span)), "cell")
+        met = met.withColumn("away", F.pmod(F.col("at") - F.col("p"), F.lit(whole))).where(F.col("away") < span)
+        fine = met.where((F.col("q") != F.col("doc")) & (F.col("_gq").isNull() | F.col("_gd").isNull() | (F.col("_gq") != F.col("_gd"))))
+        found = scratch.keep(fine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "doc", "rank"))
+        if span < whole:
+            left = scratch.keep(left.join(found.where(F.col("rank") == k).select("q"), "q", "left_anti"))
+            more = not left.isEmpty()
+            found = found.join(left.select("q"), "q", "left_anti") if more else found
+        else:
+            more = False
+        out = found if out is None else out.unionByName(found)
+        if not more:
+            return out
+        span = min(whole, 2 * span)
 
 
 def exemplars(hits: DataFrame, docs: DataFrame, doc: str, columns: list[str], query: str = "q") -> DataFrame:

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
 
+from reportloom.operators import retrieval
 from reportloom.plans import queries
 
 
@@ -20,3 +22,18 @@ def test_tokens_of_long_texts(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.tokens for r in queries.QUERIES["txt01_tokens"](spark, str(tmp_path)).collect()}
     assert got == {i: [w.lower() for w in re.findall(r"\w+", t)] for i, t in texts.items() if t is not None}
+
+
+@pytest.mark.parametrize("share", [0, 0.3, 0.9, 0.995])
+def test_random_k_fills_every_query(spark, share):
+    n, k = 600, 4
+    group = {i: "hot" if i < share * n else (None if i % 50 == 0 else f"g{i % 9}") for i in range(n)}
+    docs = spark.createDataFrame(list(group.items()), "id long, group_id string")
+    got = {}
+    for r in retrieval.random_k(docs, docs, k, 42).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.doc))
+    place = lambda seed, i: int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:8], 16)
+    for q, g in group.items():
+        pool = [d for d, h in group.items() if d != q and (g is None or h is None or g != h)]
+        after = sorted(pool, key=lambda d: ((place(42, d) - place(43, q)) % 2**32, d))
+        assert [d for _, d in sorted(got.get(q, []))] == after[:k]
