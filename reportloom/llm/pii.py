@@ -89,19 +89,53 @@ _NAME_AFTER_CUE = re.compile(
     rf"|obrigad[oa]|спасибо|с{S}+уважением|よろしくお願いします|ありがとう(?:ございます)?|敬具|以上)[,;.:、。]?{S}*(?:\r?\n{S}*)?"
     rf"|(?i:gez|gezeichnet|i\.{S}?A|p\.{S}?p)\.?:?{S}+"
     rf"|(?:\n|^){S}*(?:--|—|–){S}*"
-    rf"|(?i:profile{S}+card{S}+still{S}+says){S}+"
     rf"|(?i:as){S}+(?={TITLE}?{NAME}{S}+(?i:wrote|said|noted|mentioned))"
     rf"|(?=(?:Mr|Ms|Mrs|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Srta)\b)"
     rf"){TITLE}?(?P<span>{NAME})(?![\w])",
     re.M,
 )
-_NAME_BEFORE_CUE = re.compile(
-    rf"(?<![\w.@/-])(?P<span>{NAME}){S}+(?i:from{S}+support|asked{S}+us|wrote{S}+(?:last|to|that)|reported{S}+(?:this|that|it)|confirmed{S}+(?:this|that|it))(?!\w)"
+#: Every place where two words look like a name; the score decides.
+_NAME = re.compile(rf"(?<![\w.@/'’-])(?=[^\W\d_a-z])(?=(?P<span>{NAME})(?!\w))")
+_NAME_BEFORE = re.compile(
+    r"(?:\b(?:spoke|spoken|speak|talked|talk|chatted|met|meeting|worked|working|agreed|checked)\s+(?:with|to)|\b(?:according|thanks|addressed|assigned|forwarded)\s+to"
+    r"|\b(?:written|reported|filed|found|raised|signed|confirmed|sent|opened|closed|fixed|reviewed|approved|requested|led)\s+by|\b(?:mail|e-mail|email|message|call|letter|reply|note|word|help|feedback)\s+from"
+    r"|\bbehalf\s+of|\b(?:asked|told|emailed|contacted|informed|thanked|called|named|met|says|said|colleague|manager|boss|customer|client|neighbour|dear|hi|hello|hallo|hola|bonjour|liebe|lieber)"
+    r"|\b(?:i\s+am|i['’]m|name\s+is|ich\s+bin|je\s+suis|me\s+llamo|soy))[:,]?\s+$", re.I,
+)
+_NAME_AFTER = re.compile(
+    r",?\s+(?:(?:has|had|also|just|already|kindly|then)\s+)?(?:wrote|writes|said|says|asked|asks|told|noted|mentioned|replied|answered|reported|confirmed|complained|called|phoned|emailed|suggested|thinks|believes"
+    r"|noticed|explained|agreed|promised|joined|forwarded|escalated|hat\s+geschrieben|schrieb|sagte|a\s+écrit|a\s+dit|escribió|dijo)\b"
+    r"|,?\s+from\s+(?:the\s+|our\s+|your\s+)?(?:support|sales|marketing|accounting|engineering|finance|legal|purchasing|security|operations|IT|QA|HR|head\s+office|team|department|office)\b"
+)
+_NAME_AGAINST_BEFORE = re.compile(r"\b(?:the|a|an|this|that|each|every|our|your|my|its|new|old|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las|una)\s+$", re.I)
+_NAME_AGAINST_AFTER = re.compile(
+    r"\s+(?:buttons?|menus?|dialogs?|windows?|pages?|tabs?|screens?|settings?|panels?|views?|modes?|keys?|icons?|fields?|apps?|versions?|drivers?|volumes?|tiles?|files?|folders?|servers?|v?\d)", re.I
+)
+#: First words of sentences and words of programs and streets, none of them part of a name.
+_NO_NAME = frozenset(
+    "a an and any as at but by each every for from if in into it its my no not of on or our so that the then there these this those to we what when where which while who why with you your i"
+    " after before since still also yes please thanks hello hi dear regards best kind am is are was were does did has have had can cannot could should will would may might must"
+    " der die das den dem ein eine einer und oder mit von bei nach wenn ich wir ist im am zum zur nicht kein keine le la les un une des du et ou avec il elle je nous en el los las una y o con al"
+    " monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december yesterday today tomorrow"
+    " error bug issue ticket build version release update file folder page window button dialog tab key ctrl alt shift enter delete result results expected actual summary notes steps open close save"
+    " street st road rd lane ln avenue ave drive terrace ter crescent cres court ct square sq boulevard blvd way row gardens grove mews parade walk quay straße strasse platz weg allee".split()
+)
+#: Given names common in several countries.
+_GIVEN = frozenset(
+    "adam agnes ahmed aisha alan alba albert alejandro alex alexander alexandra alice alina amanda amelia amina amy ana anastasia andrea andreas andrew angela anita anna anne annika antonio arjun"
+    " barbara ben benjamin bernd brian camille carla carlos carmen caroline catherine charles charlotte chiara chris christian christina christine christopher claire clara claudia daniel daniela david"
+    " deborah dennis diana diego dmitry dominik dorothy edward elena eleanor elizabeth ella emily emma eric erik eva fatima felix fernando florian francesca francesco francisco frank franziska gabriel"
+    " george giulia giuseppe greta hannah hans heidi helen helena henry hugo ibrahim ines ingrid irene isabel isabella ivan jack jacob jakob james jan jana jane jason javier jean jennifer jessica joan"
+    " johanna john jonas jorge jose joseph juan julia julian juliette jürgen karen karin karl katarina katharina katherine katrin kevin klaus kristina lara lars laura lauren lea lena leo leon linda lisa"
+    " louis louise luca lucas lucy luis luisa lukas magdalena manuel marco margaret maria marie marina mario mark markus marta martin martina mary matthew matthias max maximilian megan michael michelle"
+    " miguel mohamed mohammed monika nancy natalia nathan nicholas nicole nina noah olga oliver olivia omar oscar pablo patricia patrick paul paula pedro peter petra philip pierre priya rachel rafael"
+    " rebecca ricardo richard robert roberto rosa ruth ryan sabine samuel sandra sara sarah sebastian silvia simon sofia sophia sophie stefan stefanie stephanie stephen steven susan susanne sven"
+    " teresa theresa thomas tim tobias tom ulrich ursula uwe valentina vanessa vera victor victoria vincent walter wei wilhelm william wolfgang yusuf yuki zoe".split()
 )
 
 _PHONE_WORDS = re.compile(
     r"phone|\btel\b|tél|telefon|teléfono|telefone|\bcall\b|reach|my number|mobile|móvil|handy|\bfax\b|ring me|rufnummer|whatsapp|signal|sms|"
-    r"autofill put|wrong box|mornings|if the log|until six|contact|телефон|電話|\bcell\b", re.I,
+    r"contact|телефон|電話|\bcell\b", re.I,
 )
 _PHONE_AGAINST = re.compile(
     r"\b(?:frames?|code|bytes|copied|offset|ticket|resolution|build|version|revision|port|pid|serial|differ|error|hash)\b", re.I
@@ -142,7 +176,9 @@ def _phone_score(text: str, start: int, end: int) -> float:
     if not 9 <= len(digits) <= 15:
         return 0.0
     before, after = _around(text, start, end)
-    score = 0.5 if span[0] in "+(" else 0.3
+    score = 0.3 if span.isdigit() else 0.5  # digits without sign and gaps may be any number
+    if re.search(r"\d\s+$", before):
+        score -= 0.4  # the rest of a longer number
     if _PHONE_WORDS.search(before) or _PHONE_WORDS.search(after):
         score += 0.4
     elif not before.strip() and not after.strip():
@@ -152,6 +188,32 @@ def _phone_score(text: str, start: int, end: int) -> float:
     return score
 
 
+def _name_score(text: str, start: int, end: int) -> float:
+    """Evidence for and against what looks like a name."""
+    span = text[start:end]
+    words = re.findall(r"[^\W\d_]+", span)
+    low = [w.lower() for w in words]
+    if low[0] in ROLES or low[-1] in ROLES or any(c.isdigit() for c in span) or not _NO_NAME.isdisjoint(w for w in low if len(w) > 1):
+        return 0.1
+    before, after = _around(text, start, end)
+    score = 0.3
+    if (low[-1] if "," in span else low[0]) in _GIVEN:
+        score += 0.3
+    if _NAME_BEFORE.search(before):
+        score += 0.3
+    if _NAME_AFTER.match(after):
+        score += 0.3
+    if any(len(w) == 1 for w in words[1:-1]):
+        score += 0.1  # a middle initial
+    if _NAME_AGAINST_BEFORE.search(before):
+        score -= 0.4
+    if _NAME_AGAINST_AFTER.match(after):
+        score -= 0.4
+    if span.isupper() and (re.search(r"\b[A-Z]{2,}\W*$", before) or re.match(r"\W*[A-Z]{2,}\b", after)):
+        score -= 0.4  # amid capitals
+    return min(score, 0.75)  # a cue beside it is worth more
+
+
 def propose(text: str) -> Iterator[Span]:
     """Every span that a pattern proposes, with its score after checks and context."""
     low = "@" in text or "at" in text
@@ -178,11 +240,12 @@ def propose(text: str) -> Iterator[Span]:
         before, after = _around(text, start, end)
         against = _ADDRESS_AGAINST.search(after) or _ADDRESS_AGAINST_BEFORE.search(before)
         yield Span(start, end, "street_address", 0.2 if against else 0.8)
-    for pattern in (_NAME_AFTER_CUE, _NAME_BEFORE_CUE):
-        for m in pattern.finditer(text):
-            words = re.findall(r"[^\W\d_]+", m["span"])
-            role = words[-1].lower() in ROLES or words[0].lower() in ROLES or any(c.isdigit() for c in m["span"])
-            yield Span(*m.span("span"), "person_name", 0.1 if role else 0.8)
+    for m in _NAME_AFTER_CUE.finditer(text):
+        words = re.findall(r"[^\W\d_]+", m["span"])
+        role = words[-1].lower() in ROLES or words[0].lower() in ROLES or any(c.isdigit() for c in m["span"])
+        yield Span(*m.span("span"), "person_name", 0.1 if role else 0.8)
+    for m in _NAME.finditer(text):
+        yield Span(*m.span("span"), "person_name", _name_score(text, *m.span("span")))
 
 
 def spans(text: str | None) -> list[Span]:
