@@ -86,6 +86,7 @@ def ret10(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.random_k(docs, docs, 2, 42)
 
 
+# the SQL still cuts each text after 40 characters and drops those without product, which the query has whole
 @query(
     "ret12_exemplars",
     _BM25.replace("SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3", "SELECT item_id, string_agg(product || ':' || left(text, 40), ' ## ' ORDER BY rank) AS examples FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id"),
@@ -94,7 +95,8 @@ def ret12(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents")
     hits = retrieval.top_k(retrieval.bm25(items, docs.select("doc_id", "text"), "item_id", "doc_id", "text"), "q", "doc", 3)
     packed = retrieval.exemplars(hits, docs, "doc_id", ["product", "text"])
-    return packed.select(F.col("q").alias("item_id"), F.array_join(F.transform("examples", lambda e: F.concat(e["product"], F.lit(":"), F.left(e["text"], F.lit(40)))), " ## ").alias("examples"))
+    whole = lambda e: F.concat(F.coalesce(e["product"], F.lit("")), F.lit(":"), e["text"])
+    return packed.select(F.col("q").alias("item_id"), F.array_join(F.transform("examples", whole), " ## ").alias("examples"))
 
 
 _KEYED = f"{REPORTS}, keyed AS (SELECT row_id, sha1({s_squeeze('gt_text')}) AS group_id FROM reports WHERE gt_text IS NOT NULL)"

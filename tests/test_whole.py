@@ -57,3 +57,11 @@ def test_random_k_fills_every_query(spark, share):
 )
 def test_personal_information_in_other_wordings(text, want):
     assert [(s.kind, text[s.start : s.end]) for s in pii.spans(text)] == want
+
+
+def test_exemplars_are_whole(spark, tmp_path):
+    long = "kernel panic " * 500 + "the end"
+    spark.createDataFrame([(1, long, "P"), (2, "kernel panic here", None), (3, "other words", "Q")], "doc_id long, text string, product string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "kernel panic")], "item_id long, text string").write.parquet(f"{tmp_path}/test_items.parquet")
+    got = queries.QUERIES["ret12_exemplars"](spark, str(tmp_path)).collect()
+    assert len(got) == 1 and set(got[0].examples.split(" ## ")) == {f"P:{long}", ":kernel panic here"}
