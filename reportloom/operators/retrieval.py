@@ -11,6 +11,8 @@ from reportloom.session import Scratch
 
 #: Bytes of query vectors that one broadcast block may hold.
 BLOCK_ROWS = 2000
+#: Fixed value: terms in the vocabulary of TF-IDF, few enough to broadcast.
+MOST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -43,27 +45,40 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, k
     return met.groupBy("q", "doc").agg(F.sum(part).alias("score"))
 
 
-def tfidf_vectors(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
-    """(doc, term, w): tf times ln((1+n)/(1+df))+1, scaled to norm one."""
-    raw = postings(docs, doc, text).join(terms, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
-    return raw.select("doc", "term", (F.col("raw") / norm).alias("w"))
+def grams(docs: DataFrame, doc: str, text: str, most_words: int = 2) -> DataFrame:
+    """(doc, term, tf): runs of one to ``most_words`` words of each document, joined by blanks; null texts have none."""
+    rows = docs.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    runs = [F.col("t")]
+    for k in range(2, most_words + 1):  # the lists side by side; a captured list would be made anew for each word
+        both = F.zip_with(runs[-1], F.slice("t", k, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs.append(F.filter(both, lambda x: x.isNotNull()))
+    return rows.select("doc", F.explode(F.concat(*runs)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_terms(docs: DataFrame, doc: str, text: str, most: int | None = None) -> DataFrame:
+def tfidf_terms(docs: DataFrame, doc: str, text: str, most: int | None = MOST_TERMS, most_words: int = 2) -> DataFrame:
     """(term, df, idf) of the ``most`` frequent terms, ties in the order of the alphabet, or of all."""
     total = docs.agg(F.count("*").alias("n"))
-    per = postings(docs, doc, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    per = grams(docs, doc, text, most_words).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     if most is not None:
         per = per.orderBy(F.desc("cf"), "term").limit(most)
     return per.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
-def tfidf(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, most: int | None = None) -> DataFrame:
-    """(q, doc, score): sparse cosine of queries and documents in the documents' vocabulary."""
-    terms = tfidf_terms(docs, doc, text, most)
-    left = tfidf_vectors(queries, query, text, terms).select(F.col("doc").alias("q"), "term", F.col("w").alias("wq"))
-    return left.join(tfidf_vectors(docs, doc, text, terms), "term").groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+def tfidf(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, most: int | None = MOST_TERMS, most_words: int = 2) -> DataFrame:
+    """(q, doc, score): sparse cosine of queries and documents in the documents' vocabulary.
+
+    The vocabulary is made once; up to ``MOST_TERMS`` terms it is broadcast. Of the documents' terms only
+    those that some query has are shuffled, and a sum of squares for each document.
+    """
+    terms = Scratch(docs.sparkSession, "terms").keep(tfidf_terms(docs, doc, text, most, most_words).select("term", "idf"))
+    weighed = lambda g, v: g.join(F.broadcast(v) if most is not None and most <= MOST_TERMS else v, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norms = lambda g: g.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("z"))
+    asked, given = grams(queries, query, text, most_words), grams(docs, doc, text, most_words)
+    left = weighed(asked, terms)
+    left = left.join(norms(left), "doc").select(F.col("doc").alias("q"), "term", (F.col("raw") / F.col("z")).alias("wq"))
+    met = weighed(given, terms.join(asked.select("term").distinct(), "term", "left_semi"))
+    dots = left.join(met.select("doc", "term", "raw"), "term").groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("raw")).alias("dot"))
+    return dots.join(norms(weighed(given, terms)), "doc").select("q", "doc", (F.col("dot") / F.col("z")).alias("score"))
 
 
 def dense_topk(queries: DataFrame, base: DataFrame, query: str, key: str, vec: str, k: int, block: int = BLOCK_ROWS) -> DataFrame:

@@ -49,6 +49,12 @@ _TFIDF = f"""WITH {_POST}, n AS (SELECT count(*) AS n FROM d), idf AS (SELECT te
  SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3"""
 
 
+@query("ret01_tfidf_terms")
+def ret01(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.tfidf_terms(table(spark, d, "documents"), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# the SQL still has single words and all of them only, the query word pairs and the most frequent terms
 @query("ret05_tfidf_topk", _TFIDF)
 def ret05(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -65,3 +68,32 @@ def test_exemplars_are_whole(spark, tmp_path):
     spark.createDataFrame([(7, "kernel panic")], "item_id long, text string").write.parquet(f"{tmp_path}/test_items.parquet")
     got = queries.QUERIES["ret12_exemplars"](spark, str(tmp_path)).collect()
     assert len(got) == 1 and set(got[0].examples.split(" ## ")) == {f"P:{long}", ":kernel panic here"}
+
+
+def _weights(text, idf):
+    w = [x.lower() for x in re.findall(r"\w+", text or "")]
+    raw = {t: n * idf[t] for t, n in Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]).items() if t in idf}
+    z = math.sqrt(sum(x * x for x in raw.values()))
+    return {t: x / z for t, x in raw.items()}
+
+
+@pytest.mark.parametrize("most", [None, 15])
+def test_tfidf_has_word_pairs(spark, most):
+    rng = random.Random(3)
+    docs = {i: " ".join(rng.choice(["Red", "fox", "ran", "far", "fast", "out"]) for _ in range(rng.randrange(1, 12))) for i in range(30)} | {30: None, 31: "", 32: "one"}
+    asked = {1: "red fox ran", 2: "fast fox, fast fox!", 3: "fox"}
+    counts = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, t in docs.items() for w in [[x.lower() for x in re.findall(r"\w+", t or "")]]}
+    df, cf = Counter(t for c in counts.values() for t in c), sum(counts.values(), Counter())
+    idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t in sorted(df, key=lambda t: (-cf[t], t))[:most]}
+    d, q = (spark.createDataFrame(list(x.items()), "id long, text string") for x in (docs, asked))
+    assert {r.term: (r.df, round(r.idf, 9)) for r in retrieval.tfidf_terms(d, "id", "text", most).collect()} == {t: (df[t], round(x, 9)) for t, x in idf.items()}
+    got = {(r.q, r.doc): r.score for r in retrieval.tfidf(q, d, "id", "id", "text", most).collect()}
+    want = {(i, j): sum(x * v[t] for t, x in u.items() if t in v) for i, a in asked.items() for j, b in docs.items() for u, v in [(_weights(a, idf), _weights(b, idf))] if u.keys() & v.keys()}
+    assert got == pytest.approx(want)
+
+
+def test_tfidf_queries_have_word_pairs(spark, tmp_path):
+    spark.createDataFrame([(1, "fox red"), (2, "red fox")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "red fox")], "item_id long, text string").write.parquet(f"{tmp_path}/test_items.parquet")
+    assert {r.term for r in queries.QUERIES["ret01_tfidf_terms"](spark, str(tmp_path)).collect()} == {"red", "fox", "red fox", "fox red"}
+    assert [r.doc_id for r in queries.QUERIES["ret05_tfidf_topk"](spark, str(tmp_path)).orderBy("rank").collect()] == [2, 1]
