@@ -12,16 +12,24 @@ from reportloom.llm.sql import ORACLE_SQL  # noqa: F401
 from reportloom.session import Scratch, table
 
 
-def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlaps(table(spark, d, "splits"), table(spark, d, "placeholders"), Scratch(spark, "p1"))
+def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.links(table(spark, d, "splits"), table(spark, d, "placeholders"), Scratch(spark, "p1"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.found(p1_overlaps(spark, d))
+    return overlap.found(*_p1(spark, d))
+
+
+def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(*_p1(spark, d))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.memberships(*_p1(spark, d))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(p1_overlaps(spark, d))
+    return overlap.report(*_p1(spark, d))
 
 
 def p2_linked(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +141,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
+    "p1_members": p1_members,
     "p1_report": p1_report,
     "p2_found": p2_linked,
     "p2_splits": p2_splits,
