@@ -2,16 +2,20 @@
 
 Each annotator belongs to one of a few communities, each community shares one confusion
 matrix. Variational updates alternate between the true labels of the items, the community
-of each annotator and the Dirichlet posteriors of the matrices. Annotators with few labels
-lean on their community, so their reliability stays stable.
+of each annotator and the Dirichlet posteriors of the matrices, until the matrices settle.
+
+The prior of the matrices weighs as much as all labels given, and how often a label occurs is
+no evidence for it. Otherwise the model confirms itself: on the test data the matrix of a
+weak annotator then takes up the labels that the others give, and a frequent label overrules
+two votes against one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +26,18 @@ LABELS: dict[str, dict[str, str]] = {
     "extraction": {"TP": r"\bt\.? ?p\b|true[ _-]*pos", "FP": r"\bf\.? ?p\b|false[ _-]*pos"},
     "attribution": {"unattributed": r"un-?attribut|not[ _-]+attribut|neither", "retrieval": r"retriev", "input": r"\binput"},
 }
-#: Diagonal of each community's matrix at the start, and the labels that this prior is worth.
-COMMUNITIES = (0.9, 0.7, 0.45)
+#: Diagonal of each community's matrix in the prior.
+COMMUNITIES = (0.9, 0.7)
+#: Weight of the prior: labels per label given, over all communities and true labels.
+PRIOR_SHARE = 1.0
+#: Labels by which an annotator's reliability leans on the communities, and least weight of a row of the prior.
 PRIOR_LABELS = 12.0
-UPDATES = 6
+#: Vote patterns that the matrices are fitted on, the most frequent first; each counts as often as it occurs.
+PATTERNS = 20_000
+#: The matrices have settled when no chance moves more than this; far more updates than that ever takes raise an error.
+SETTLED, MOST_UPDATES = 1e-6, 10_000
 
+VOTES = "array<struct<annotator:string,label:string>>"
 MOST = max(map(len, LABELS.values()))
 M = len(COMMUNITIES)
 
@@ -61,70 +72,86 @@ def votes(entries: DataFrame) -> DataFrame:
     )
 
 
-def _digamma(x: float) -> float:
-    down = 0.0
-    while x < 8:
-        down -= 1 / x
-        x += 1
+def _digamma(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, float)
+    down = np.zeros_like(x)
+    while (x < 8).any():
+        down -= np.where(x < 8, 1 / x, 0.0)
+        x = np.where(x < 8, x + 1, x)
     y = 1 / (x * x)
-    return down + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+    return down + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
+def _expected_logs(alpha: np.ndarray) -> np.ndarray:
+    return _digamma(alpha) - _digamma(alpha.sum(axis=-1, keepdims=True))
 
 
-def _expected_logs(alpha: list[float]) -> list[float]:
-    total = _digamma(sum(alpha))
-    return [_digamma(a) - total for a in alpha]
+def _shares(gains: np.ndarray) -> np.ndarray:
+    parts = np.exp(gains - gains.max(axis=-1, keepdims=True))
+    return parts / parts.sum(axis=-1, keepdims=True)
 
 
 @dataclass
 class Communities:
-    """Dirichlet posteriors: per kind and community a matrix, shares of labels and of communities."""
-
-    confusion: dict[str, list[list[list[float]]]] = field(default_factory=dict)
-    labels: dict[str, list[float]] = field(default_factory=dict)
-    sizes: dict[str, list[float]] = field(default_factory=dict)
-
-    @classmethod
-    def prior(cls) -> Communities:
-        it = cls()
-        for kind, names in LABELS.items():
-            n = len(names)
-            it.confusion[kind] = [
-                [[PRIOR_LABELS * (d if i == j else (1 - d) / (n - 1)) for j in range(n)] for i in range(n)] for d in COMMUNITIES
-            ]
-            it.labels[kind] = [1.0] * n
-            it.sizes[kind] = [1.0] * len(COMMUNITIES)
-        return it
+    """Dirichlet posteriors: for each kind the communities' matrices (community, true, said) and their sizes."""
+
+    confusion: dict[str, np.ndarray] = field(default_factory=dict)
+    sizes: dict[str, np.ndarray] = field(default_factory=dict)
+    members: dict[str, dict[str, np.ndarray]] = field(default_factory=dict)
+
+    def fit(self, kind: str, patterns: list[tuple[list[tuple[str, str]], float]]) -> None:
+        """Variational updates on vote patterns ((annotator, label) pairs, times it occurs)."""
+        names = list(LABELS[kind])
+        who = {a: i for i, a in enumerate(sorted({a for p, _ in patterns for a, _ in p}))}
+        cell = [(i, who[a], names.index(said), n) for i, (p, n) in enumerate(patterns) for a, said in p]
+        item, by, said = (np.array([c[k] for c in cell], np.int64) for k in range(3))
+        weight = np.array([c[3] for c in cell], float)
+        n = len(names)
+        worth = max(PRIOR_LABELS, PRIOR_SHARE * weight.sum() / (M * n))
+        prior = np.array([[[worth * (d if i == j else (1 - d) / (n - 1)) for j in range(n)] for i in range(n)] for d in COMMUNITIES])
+        confusion, sizes, members = prior, np.ones(M), np.full((len(who), M), 1 / M)
+        for _ in range(MOST_UPDATES):
+            logs = _expected_logs(confusion)
+            gains = np.zeros((len(patterns), n))
+            np.add.at(gains, item, np.einsum("vm,mtv->vt", members[by], logs[:, :, said]))
+            true = _shares(gains)
+            counts = np.zeros((len(who), n, n))  # annotator, true, said
+            np.add.at(counts, (by, slice(None), said), weight[:, None] * true[item])
+            members = _shares(np.einsum("ats,mts->am", counts, logs) + _expected_logs(sizes))
+            following = prior + np.einsum("am,ats->mts", members, counts)
+            sizes = 1.0 + members.sum(axis=0)
+            moved = np.abs(following / following.sum(-1, keepdims=True) - confusion / confusion.sum(-1, keepdims=True)).max()
+            confusion = following
+            if moved < SETTLED:
+                break
+        else:
+            raise RuntimeError("the confusion matrices did not settle")
+        self.confusion[kind], self.sizes[kind] = confusion, sizes
+        self.members[kind] = {a: members[i] for a, i in who.items()}
 
     def logs(self) -> Column:
         """Expected logs of a vote: what each community says of it for each true label, by community and label."""
         rows = []
         for k, names in LABELS.items():
-            by = [[_expected_logs(row) for row in matrix] for matrix in self.confusion[k]]
+            by = _expected_logs(self.confusion[k])
             for said, name in enumerate(names):
-                values = [by[m][j][said] if j < len(names) else 0.0 for m in range(M) for j in range(MOST)]
+                values = [float(by[m][j][said]) if j < len(names) else 0.0 for m in range(M) for j in range(MOST)]
                 rows += [F.lit(f"{k}|{name}"), F.array(*map(F.lit, values))]
         return F.element_at(F.create_map(*rows), F.concat_ws("|", "label_kind", "label"))
 
-    def of_kind(self, values: dict[str, list[float]], missing: float) -> Column:
+    def of_kind(self, values: dict[str, list[float]]) -> Column:
         """An array for each kind."""
         rows = []
         for k, v in values.items():
-            rows += [F.lit(k), F.array(*[F.lit(float(v[i]) if i < len(v) else missing) for i in range(max(MOST, M))])]
+            rows += [F.lit(k), F.array(*[F.lit(float(x)) for x in v])]
         return F.element_at(F.create_map(*rows), F.col("label_kind"))
 
-    def label_logs(self) -> Column:
-        return self.of_kind({k: _expected_logs(v) for k, v in self.labels.items()}, -1e9)
-
     def size_logs(self) -> Column:
-        return self.of_kind({k: _expected_logs(v) for k, v in self.sizes.items()}, 0.0)
+        return self.of_kind({k: list(_expected_logs(v)) for k, v in self.sizes.items()})
 
     def accuracies(self) -> Column:
-        """Mean chance of each community to say the true label, over the labels as they occur."""
-        out = {}
-        for k in LABELS:
-            share = [x / sum(self.labels[k]) for x in self.labels[k]]
-            out[k] = [sum(s * row[i] / sum(row) for i, (s, row) in enumerate(zip(share, rows))) for rows in self.confusion[k]]
-        return self.of_kind(out, 0.0)
+        """Mean chance of each community to say the true label."""
+        return self.of_kind({k: [float(np.mean(np.diag(m) / m.sum(axis=1))) for m in self.confusion[k]] for k in LABELS})
 
 
 def _softmax(columns: list[Column]) -> list[Column]:
@@ -142,12 +169,13 @@ def _memberships(counts: DataFrame, model: Communities) -> DataFrame:
     return per.select("label_kind", "annotator", *[c.alias(f"r{m}") for m, c in enumerate(chance)])
 
 
-def _posteriors(votes_of: DataFrame, members: DataFrame, model: Communities, key: list[str]) -> DataFrame:
-    """(key, q0, q1, ...): chance of each label to be the true one."""
+def _posteriors(votes_of: DataFrame, model: Communities) -> DataFrame:
+    """(label_kind, pattern, q0, q1, ...): chance of each label to be the true one, from votes with their annotator's memberships."""
     gains = [F.sum(sum((F.col(f"r{m}") * F.col("_l")[m * MOST + j] for m in range(M)), F.lit(0.0))).alias(f"g{j}") for j in range(MOST)]
-    per = votes_of.withColumn("_l", model.logs()).join(members, ["label_kind", "annotator"]).groupBy(*key).agg(*gains)
-    chance = _softmax([F.col(f"g{j}") + F.col("_p")[j] for j in range(MOST)])
-    return per.withColumn("_p", model.label_logs()).select(*key, *[c.alias(f"q{j}") for j, c in enumerate(chance)])
+    per = votes_of.withColumn("_l", model.logs()).groupBy("label_kind", "pattern").agg(*gains)
+    possible = F.element_at(F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, len(v))]), F.col("label_kind"))
+    chance = _softmax([F.when(F.lit(j) < possible, F.col(f"g{j}")).otherwise(-1e9) for j in range(MOST)])
+    return per.select("label_kind", "pattern", *[c.alias(f"q{j}") for j, c in enumerate(chance)])
 
 
 def _says(name: Column) -> Callable[[Column], Column]:
@@ -158,85 +186,73 @@ def _says(name: Column) -> Callable[[Column], Column]:
 @dataclass
 class Fitted:
     items: DataFrame
+    chance: DataFrame
     counts: DataFrame
     model: Communities
 
 
-def fit(cast: DataFrame, scratch: Scratch, updates: int = UPDATES) -> Fitted:
+def fit(cast: DataFrame, scratch: Scratch, patterns: int = PATTERNS) -> Fitted:
     """Fit the model to ``votes``.
 
-    Items with the same votes count as one row with a weight, which changes no update. The
-    state between updates is one small table of expected counts per annotator and label,
-    written to the shared folder. Only the communities' matrices come to the driver.
+    Items with the same votes count as one pattern with a weight, which changes no update. The
+    matrices, a few numbers, are fitted on the ``patterns`` most frequent patterns (four
+    annotators have 80 and 255 in all); what they then tell of every annotator and every item
+    is computed from all votes.
     """
-    patterns = F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("pattern")
-    items = scratch.keep(
-        cast.groupBy("entity_id", "label_kind").agg(patterns).withColumn("pattern_id", F.xxhash64("label_kind", F.to_json("pattern")))
-    )
-    weighted = items.groupBy("label_kind", "pattern_id", "pattern").agg(F.count("*").cast("double").alias("n"))
-    rows = scratch.keep(
-        weighted.select("label_kind", "pattern_id", "n", F.explode("pattern").alias("v")).select("label_kind", "pattern_id", "n", "v.*")
-    )
-    model, key = Communities.prior(), ["label_kind", "pattern_id"]
-    members = rows.select("label_kind", "annotator").distinct().select("*", *[F.lit(1.0 / M).alias(f"r{m}") for m in range(M)])
-    path = None
-    for _ in range(updates):
-        chance = _posteriors(rows, members, model, key)
-        expected = [F.sum(F.col("n") * F.col(f"q{j}")).alias(f"s{j}") for j in range(MOST)]
-        counts, next_path = scratch.save(rows.join(chance, key).groupBy("label_kind", "annotator", "label").agg(*expected))
-        if path:
-            scratch.drop(path)
-        path = next_path
-        members = _memberships(counts, model)
-        model = _refit(counts, members)
-    members = _memberships(counts, model)
-    return Fitted(items.join(scratch.keep(_posteriors(rows, members, model, key)), key), counts, model)
-
-
-def _refit(counts: DataFrame, members: DataFrame) -> Communities:
-    """New posteriors of the communities; a few numbers for each kind come to the driver."""
-    sums = [F.sum(F.col(f"r{m}") * F.col(f"s{j}")).alias(f"c{m}_{j}") for m in range(M) for j in range(MOST)]
-    joined = counts.join(members, ["label_kind", "annotator"])
-    model = Communities.prior()
-    for r in joined.groupBy("label_kind", "label").agg(*sums).collect():
-        names = list(LABELS[r.label_kind])
-        said = names.index(r.label)
-        for m in range(M):
-            for j in range(len(names)):
-                model.confusion[r.label_kind][m][j][said] += r[f"c{m}_{j}"]
-                model.labels[r.label_kind][j] += r[f"c{m}_{j}"]
-    for r in members.groupBy("label_kind").agg(*[F.sum(f"r{m}").alias(f"r{m}") for m in range(M)]).collect():
-        model.sizes[r.label_kind] = [1.0 + r[f"r{m}"] for m in range(M)]
-    return model
+    votes_of = F.array_sort(F.collect_list(F.struct("annotator", "label")))  # one for each annotator of an item
+    items = scratch.keep(cast.groupBy("entity_id", "label_kind").agg(F.to_json(votes_of).alias("pattern")))
+    weighted = scratch.keep(items.groupBy("label_kind", "pattern").agg(F.count("*").cast("double").alias("n")))
+    kind = F.from_json("pattern", VOTES)
+    model = Communities()
+    top = weighted.orderBy(F.desc("n"), "label_kind", "pattern").limit(patterns).withColumn("votes", kind)
+    sample: dict[str, list] = {k: [] for k in LABELS}
+    for r in top.collect():  # at most ``patterns`` rows
+        sample[r.label_kind].append(([(v.annotator, v.label) for v in r.votes], r.n))
+    for k, seen in sample.items():
+        model.fit(k, seen)
+    rows = weighted.select("label_kind", "pattern", "n", F.explode(kind).alias("v")).select("label_kind", "pattern", "n", "v.*")
+    known = scratch.spark.createDataFrame(
+        [(k, a, *map(float, r)) for k, of in model.members.items() for a, r in of.items()], ", ".join(["label_kind string", "annotator string", *[f"r{m} double" for m in range(M)]])
+    )  # the annotators of the sample
+    rows = rows.join(F.broadcast(known), ["label_kind", "annotator"], "left").fillna(1.0 / M, [f"r{m}" for m in range(M)])
+    expected = [F.sum(F.col("n") * F.col(f"q{j}")).alias(f"s{j}") for j in range(MOST)]
+    counts = rows.join(_posteriors(rows, model), ["label_kind", "pattern"]).groupBy("label_kind", "annotator", "label").agg(*expected)
+    every = rows.drop(*[f"r{m}" for m in range(M)]).join(_memberships(counts, model), ["label_kind", "annotator"])
+    chance = _posteriors(every, model)
+    return Fitted(items, chance, counts, model)
 
 
 def consensus(fitted: Fitted) -> DataFrame:
-    """One row per item and kind: votes, the label the votes agree on, the model's label, agreement.
+    """One row per item and kind: votes, consensus label, the model's label and its chance, agreement.
 
-    ``consensus_label`` is null unless a label has at least two votes and more than any
-    other. ``agreement`` is the share of pairs of annotators who agree, null for one vote.
+    ``consensus_label`` is the model's label if it passes the check that it has at least two
+    votes and more than any other; else it is null. ``overruled`` tells that another label
+    would pass the check, which the model doubts. ``agreement`` is the share of pairs of
+    annotators who agree, null for one vote.
     """
-    kind = F.col("label_kind")
+    kind = F.col("label_kind")  # all of this is the same for all items with the same votes
     named = []
     for j in range(MOST):
         name = F.lit(None).cast("string")
         for k, names in LABELS.items():
             if j < len(names):
                 name = F.when(kind == k, list(names)[j]).otherwise(name)
-        got = F.size(F.filter("pattern", _says(name)))
+        got = F.size(F.filter("cast", _says(name)))
         named.append(F.struct(got.alias("votes"), F.col(f"q{j}").alias("chance"), name.alias("label")))
     ranked = F.sort_array(F.filter(F.array(*named), lambda x: x.label.isNotNull()), asc=False)
     by_model = F.array_max(F.transform(ranked, lambda x: F.struct(x.chance.alias("chance"), x.label.alias("label"))))
-    n = F.size("pattern")
+    n = F.size("cast")
     pairs = F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x.votes * (x.votes - 1))
-    rows = fitted.items.withColumn("ranked", ranked)
+    rows = fitted.chance.withColumn("cast", F.from_json("pattern", VOTES)).withColumn("ranked", ranked)
     top, second = F.col("ranked")[0], F.col("ranked")[1]
-    return rows.select(
-        "entity_id", "label_kind", n.alias("votes"),
-        F.when((top.votes >= 2) & (top.votes > second.votes), top.label).alias("consensus_label"),
+    checked = (top.votes >= 2) & (top.votes > second.votes)
+    verdicts = rows.select(
+        "label_kind", "pattern", n.alias("votes"),
+        F.when(checked & (top.label == by_model.label), by_model.label).alias("consensus_label"), (checked & (top.label != by_model.label)).alias("overruled"),
         by_model.label.alias("model_label"), by_model.chance.alias("model_chance"),
         F.when(n >= 2, pairs / (n * (n - 1))).alias("agreement"),
     )
+    return fitted.items.join(verdicts, ["label_kind", "pattern"]).drop("pattern")
 
 
 def annotators(fitted: Fitted) -> DataFrame:

@@ -32,9 +32,9 @@ def test_labels(spark, kind, raw, want):
     assert df.first().l == want
 
 
-def run(spark, rows, updates=3):
+def run(spark, rows):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    fitted = consensus.fit(consensus.votes(df), Scratch(spark, "t"), updates=updates)
+    fitted = consensus.fit(consensus.votes(df), Scratch(spark, "t"))
     return fitted, {(r.entity_id, r.label_kind): r for r in consensus.consensus(fitted).collect()}
 
 
@@ -71,7 +71,7 @@ def test_reliability_on_simulated_annotators(spark):
                 continue
             said = true if rng.random() < p else ("FP" if true == "TP" else "TP")
             rows.append((i, who, t(1), said, None))
-    fitted, got = run(spark, rows, consensus.UPDATES)
+    fitted, got = run(spark, rows)
     rate = {r.annotator: r.reliability for r in consensus.annotators(fitted).collect()}
     assert rate["a"] > rate["c"] > rate["d"] + 0.1 and abs(rate["a"] - 0.95) < 0.05 and 0.6 < rate["few"] < 1
     right = sum(got[i, "extraction"].model_label == true for i, true in truth.items())
