@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from reportloom.session import ship
 SEED = 5
 SEEDS = 5
 #: A passage counts from so many words of the item in a row ...
-SPAN = 24
-#: ... with at most so many words changed, added or left out among them.
+SPAN = 25
+#: ... with at most so many words changed, added or left out among them: one in ten, rounded up.
 ERRORS = 3
 #: How far insertions may shift a passage.
 BAND = 6
@@ -27,7 +29,7 @@ BLOCK_CHARS = 8_000_000
 
 INVISIBLE = "​‌‍⁠﻿­"
 _WORD = re.compile(rf"[^\W_]+(?:[{INVISIBLE}]+[^\W_]+)*")
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&#?\w{1,10};")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&#?\w{1,10};")
 _DROP = str.maketrans("", "", INVISIBLE)
 
 
@@ -141,8 +143,9 @@ class Index:
 def align(doc: list[int], item: list[int], start: int, stop: int, shift: int) -> tuple[int, int] | None:
     """The widest stretch of ``doc[start:stop]`` that repeats the item, or None.
 
-    Local alignment near the diagonal ``shift``; within it ``SPAN`` words of the item in a
-    row with at most ``ERRORS`` edits must be found.
+    Local alignment near the diagonal ``shift``; ``SPAN`` words of the item in a row with at
+    most ``ERRORS`` edits must be found. They may reach over the ends of the alignment, which
+    leaves out changed words at its edges; words of the item there count as edits.
     """
     width = 2 * BAND
     best, best_at = 0, None
@@ -171,6 +174,11 @@ def align(doc: list[int], item: list[int], start: int, stop: int, shift: int) ->
         path.append((p, q, move != 0 or doc[p] != item[q], move != 1))
         cell = (p - 1, q - 1) if move == 0 else (p - 1, q) if move == 1 else (p, q - 1)
     path.reverse()
+    if not path:
+        return None
+    ends = path[0][0], path[-1][0]
+    edge = (0, 0, True, True)
+    path = [edge] * min(ERRORS, path[0][1]) + path + [edge] * min(ERRORS, len(item) - 1 - path[-1][1])
     lo = used = edits = 0
     for hi in range(len(path)):
         used += path[hi][3]
@@ -180,15 +188,52 @@ def align(doc: list[int], item: list[int], start: int, stop: int, shift: int) ->
             edits -= path[lo][2]
             lo += 1
         if used == SPAN and edits <= ERRORS:
-            return path[0][0], path[-1][0]
+            return ends
     return None
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> list[DataFrame]:
-    """The items cut into parts of about ``block_chars`` characters at most."""
-    total = items.agg(F.sum(F.length(text)).alias("n")).first().n or 0
-    parts = max(1, -(-2 * int(total) // block_chars)) if total > block_chars else 1
-    return [items.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == k) for k in range(parts)]
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(name: str, rows: list[tuple[int, str]]) -> Index:
+    """The index of a block, built once for each Python worker."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(rows)
+    return _INDEXES[name]
+
+
+def _blocks(items: DataFrame, block_chars: int) -> list[tuple[str, Broadcast]]:
+    """Named broadcasts of the items, of at most ``block_chars`` characters each, or of one item that is longer."""
+    key = F.xxhash64("item_id", "text")
+    total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    parts = max(1, -(-int(total) // block_chars))
+    while True:
+        sizes = items.groupBy(F.pmod(key, F.lit(parts)).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+        if not sizes.where((F.col("n") > 1) & (F.col("chars") > block_chars)).limit(1).count():
+            break
+        parts *= 2
+    out = []
+    for k in range(parts):
+        rows = [(r.item_id, r.text) for r in items.where(F.pmod(key, F.lit(parts)) == k).collect()]  # of checked size
+        out.append((uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows)))
+    return out
+
+
+def _found_in(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+    """(text, item_id, first character, one behind the last) of every passage."""
+    out = []
+    places: dict[int, list[tuple[int, int]]] = {}
+    for t, item, lo, hi in index.scan(texts):
+        if t not in places:
+            places[t] = [m.span() for m in _WORD.finditer(unmarked(texts[t]))]
+        out.append((t, item, places[t][lo][0], places[t][hi][1]))
+    return out
+
+
+def _wanted(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    return rows.where("item_id is not null and text is not null").distinct()
 
 
 def passages(
@@ -202,27 +247,18 @@ def passages(
     contain none; items shorter than that are contained in none. One pass over the documents
     for each ``block_chars`` characters of items, so the broadcast has a bound; no shuffle.
     """
-    spark = documents.sparkSession
-    ship(spark)
+    ship(documents.sparkSession)
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
     result = None
-    for block in _blocks(wanted, item_id, item_text, block_chars):
-        rows = [(r[0], r[1]) for r in block.select(item_id, item_text).distinct().collect()]  # within the bound
-        shared = spark.sparkContext.broadcast(rows)
+    for name, shared in _blocks(_wanted(items, item_id, item_text), block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
                     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    out: list[tuple] = []
-                    places: dict[int, list[tuple[int, int]]] = {}
-                    for t, item, lo, hi in index.scan(texts):
-                        if t not in places:
-                            places[t] = [m.span() for m in _WORD.finditer(unmarked(texts[t]))]
-                        out.append((ids[t], item, places[t][lo][0], places[t][hi][1]))
+                    out = [(ids[t], *rest) for t, *rest in _found_in(index, texts)]
                     columns = list(zip(*out)) if out else [[]] * 4
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays(
@@ -239,29 +275,55 @@ def found(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", "item_id").distinct()
 
 
-def cleaned(documents: DataFrame, spans: DataFrame, most: float = 0.5) -> DataFrame:
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without the stretches ``cuts``, which may overlap."""
+    out, at = [], 0
+    for lo, hi in sorted(cuts):
+        out.append(text[at : max(at, lo)])
+        at = max(at, hi)
+    return "".join(out) + text[at:]
+
+
+def cleaned(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_chars: int = BLOCK_CHARS, most: float = 0.5,
+) -> DataFrame:
     """(doc_id, text, removed_chars, dropped): the documents without their passages.
 
     Passages are cut out of the text; a document of which they make up more than the share
     ``most`` is dropped: its text becomes null. Documents without passages stay as they are.
+    One pass over the documents without a shuffle; further blocks of items are further steps
+    of the same pass, which hand the cuts on.
     """
-    cut = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_char", "last_char"))).alias("cuts"))
-    joined = documents.select("doc_id", "text").join(cut, "doc_id", "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    kept = F.aggregate(
-        "cuts", start,
-        lambda acc, c: F.struct(
-            F.concat(
-                acc.out,
-                F.when(c.first_char > acc.at, F.substring(F.col("text"), acc.at + F.lit(1), c.first_char - acc.at)).otherwise(""),
-            ).alias("out"),
-            F.greatest(acc.at, c.last_char).alias("at"),
-        ),
-        lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + F.lit(1), F.length("text"))),
-    )
-    out = joined.withColumn("kept", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept))
-    removed = F.coalesce(F.length("text") - F.length("kept"), F.lit(0))
-    dropped = F.coalesce(removed > F.lit(most) * F.length("text"), F.lit(False))
-    return out.select(
-        "doc_id", F.when(~dropped, F.col("kept")).alias("text"), removed.alias("removed_chars"), dropped.alias("dropped")
-    )
+    ship(documents.sparkSession)
+    blocks = _blocks(_wanted(items, item_id, item_text), block_chars)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<int>").alias("cuts"))
+    for name, shared in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    cuts = part.column(2).to_pylist()
+                    for t, _, lo, hi in _found_in(index, part.column(1).to_pylist()):
+                        cuts[t] += [lo, hi]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cuts, pa.list_(pa.int32()))], ["doc_id", "text", "cuts"])
+
+        rows = rows.mapInArrow(run, "doc_id bigint, text string, cuts array<int>")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept = without(t, list(zip(c[::2], c[1::2]))) if c else t
+                removed = len(t) - len(kept) if c else 0
+                dropped = bool(c) and removed > most * len(t)
+                out.append((None if dropped else kept, removed, dropped))
+            texts, removed, dropped = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(dropped, pa.bool_())],
+                ["doc_id", "text", "removed_chars", "dropped"],
+            )
+
+    return rows.mapInArrow(cut, "doc_id bigint, text string, removed_chars int, dropped boolean")

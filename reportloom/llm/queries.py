@@ -127,7 +127,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return leak.cleaned(table(spark, d, "documents"), _p7_spans(spark, d))
+    return leak.cleaned(table(spark, d, "documents"), table(spark, d, "test_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

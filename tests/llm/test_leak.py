@@ -60,10 +60,20 @@ def test_cases(spark):
 def test_cleaned(spark):
     before, after = "Keep this. ", " And that too, please, as it is not part of it at all, nor is this sentence or the next one here."
     docs, items = find(spark, [before * 30 + " ".join(ITEM) + after, "Untouched.", None, " ".join(ITEM), ""])
-    rows = {r.doc_id: r for r in leak.cleaned(docs, leak.passages(docs, items)).collect()}
+    rows = {r.doc_id: r for r in leak.cleaned(docs, items).collect()}
     assert rows[0].text == before * 30 + after and rows[0].removed_chars == len(" ".join(ITEM)) and not rows[0].dropped
     assert rows[1].text == "Untouched." and rows[2].text is None and rows[4].text == ""
     assert rows[3].text is None and rows[3].dropped
+    assert {r.doc_id: r for r in leak.cleaned(docs, items, block_chars=100).collect()} == rows
+
+
+def test_span_and_changes():
+    index = leak.Index([(1, " ".join(ITEM))])
+    hit = lambda words: [r[1] for r in index.scan([" ".join([*passage(9), *words, *passage(9)])])]
+    changed = lambda at: ["new" if i in at else w for i, w in enumerate(ITEM[:25])]
+    assert hit(ITEM[:25]) == hit(changed({24})) == hit(changed({0, 12})) == hit(changed({0, 1, 24})) == [1]
+    assert hit(ITEM[:21]) == hit(changed({4, 9, 14, 19})) == []
+    assert leak.without("abcdefgh", [(4, 6), (1, 3), (2, 5)]) == "agh"
 
 
 def test_empty(spark):
