@@ -11,7 +11,8 @@ from reportloom.session import Scratch
 
 #: What may stand between an issue's prefix and its number.
 ISSUE_GAP = r"(?:\s+(?:issue|ticket|bug)|\.[\w.\-]+(?::\d+)?(?:/[\w\-]+)*/)?[\s\-_#:\[\]‐-―−]*"
-KEY_SALTS = 64
+#: Parts that a key is cut into at least, and all keys' rows for each part beyond.
+KEY_SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def blank_free(value: Column) -> Column:
@@ -30,9 +31,10 @@ def issue_keys(text: Column, prefixes: Column) -> Column:
     ``prefixes`` is the alternation of the known prefixes. Numbers have five or more digits.
     """
     pattern = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])("), prefixes, F.lit(")" + ISSUE_GAP + r"(\d{5,})(?![\p{L}\p{N}])"))
-    names = F.regexp_extract_all(text, pattern, F.lit(1))
-    numbers = F.regexp_extract_all(text, pattern, F.lit(2))
-    return F.array_distinct(F.zip_with(names, numbers, lambda a, b: F.concat(F.lower(a), F.lit("-"), b)))
+    # the text is searched once, what was found is taken apart again
+    part = lambda m, k: F.call_function("regexp_extract", m, pattern, F.lit(k))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.array_distinct(F.transform(found, lambda m: F.concat(F.lower(part(m, 1)), F.lit("-"), part(m, 2))))
 
 
 def latest_rows(splits: DataFrame) -> DataFrame:
@@ -105,16 +107,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_id, cluster_id) of every node of ``edges``; the cluster is its smallest node.
 
-    Alternates large-star and small-star until the edges stay the same. Each round's edges
+    Alternates large-star and small-star until the edges stay the same, which they do after at
+    most about the square of the logarithm of the largest component's size. Each round's edges
     are written to the shared folder, the ones before are removed. Both stars reduce with
     a combining minimum; the join back to the edges of a hot node is split by AQE.
     """
     current, path = scratch.save(edges)
     before = None
-    for _ in range(rounds):
+    while True:
         following, next_path = scratch.save(_small_star(_large_star(current)))
         mark = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(path)
@@ -122,8 +125,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
         if (mark.n, mark.h) == before:
             break
         before = (mark.n, mark.h)
-    else:
-        raise RuntimeError("the components did not settle")
     return current.select(F.col("u").alias("row_id"), F.col("v").alias("cluster_id")).unionByName(
         current.select(F.col("v").alias("row_id"), F.col("v").alias("cluster_id")).distinct()
     )
@@ -133,7 +134,11 @@ def clusters(splits: DataFrame, rules: DataFrame, trackers: DataFrame, placehold
     """(row_id, cluster_id) of every record linked to another one."""
     group_cols = [r.group_col for r in rules.select("group_col").distinct().orderBy("group_col").collect()]  # a few rows
     group_cols = [c for c in group_cols if c in splits.columns]
-    return components(star_edges(link_keys(splits, group_cols, trackers, placeholders)), scratch)
+    keys, at = scratch.save(link_keys(splits, group_cols, trackers, placeholders))
+    salts = max(KEY_SALTS, -(-keys.count() // SALT_ROWS))
+    found = components(star_edges(keys, salts), scratch)
+    scratch.drop(at)
+    return found
 
 
 def assign(splits: DataFrame, linked: DataFrame, rules: DataFrame) -> DataFrame:
