@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,10 @@ THRESHOLD = 0.5
 BEFORE, AFTER = 40, 30
 
 S = r"[^\S\n]"  # white space within a line
-CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻ][\w'’]*[^\W\d_]"
-INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
+#: Capital letters of the scripts that have any, from Latin to Armenian.
+UPPER = "[A-Z" + "".join(chr(c) for c in range(0xC0, 0x557) if chr(c).isupper()) + "]"
+CAP = rf"{UPPER}[\w'’]*[^\W\d_]"
+INITIAL = rf"{UPPER}\."
 SURNAME = rf"{CAP}(?:[-‐‑]{CAP})*"
 NAME = (
     rf"(?:{SURNAME},{S}+(?:{CAP}(?:{S}+{INITIAL})?|{INITIAL})"
@@ -39,6 +42,8 @@ _EMAIL = re.compile(
     r"(?:[A-Za-z0-9-]{1,63}(?:\.|[ \t]?[(\[][ \t]?dot[ \t]?[)\]][ \t]?)){1,6}[A-Za-z]{2,24}(?![\w-]|@)",
     re.I,
 )
+_EMAIL_SIGN = re.compile(r"@|[(\[][ \t]?at[ \t]?[)\]]", re.I)
+_EMAIL_WORDS = re.compile(r"mail|contact|reach|write|reply|courriel|correo|kontakt|schreib|écri|escrib|почт|メール|\b(?:to|from|cc|bcc|an|de|à)\b[:,]?\s*$", re.I)
 _PHONE = re.compile(
     r"(?<![\w.+:/#-])(?:"
     r"\+\d{1,3}(?:[ .\-  ‑]?\(?\d{1,5}\)?){2,6}"
@@ -58,9 +63,10 @@ _ID_NUMBER = (
     r"(?:[A-Z]{1,3}[-  ]?\d{5,9}(?:[-  ]?[A-Z])?|[A-Z]{2}(?:[ -]?\d{2}){3}[ -]?[A-Z]|[A-Z]-\d{6,8}-[A-Z0-9]|\d{3}[-  ]\d{2}[-  ]\d{4}"
     r"|\d{2}(?:[ .]\d{3}){3}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{8}[-  ]?[A-Z]|\d{9,12})"
 )
-_IDENTITY = re.compile(
-    rf"(?<![\w])(?i:{_LABELS})(?:{S}*(?i:no|nr|number|n[°º]|num|n[uú]mero)\b\.?)?{S}*[.:#]{{0,2}}{S}*(?:is{S}+)?(?P<span>{_ID_NUMBER})(?![\w]|[-.]\d)"
-)
+_IDENTITY = re.compile(rf"(?<![\w])(?P<span>{_ID_NUMBER})(?![\w]|[-.]\d)")
+#: A label at the end of what stands before a number.
+_LABELLED = re.compile(rf"(?<![\w])(?P<label>{_LABELS})(?:{S}*(?:no|nr|number|n[°º]|num|n[uú]mero)\b\.?)?{S}*[.:#]{{0,2}}{S}*(?:is{S}+)?\Z", re.I)
+LABEL_CHARS = 60
 #: Numbers that need no label because a checksum confirms them.
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 _CARD = re.compile(r"(?<![\w.-])\d{4}([ -])\d{4}\1\d{4}\1\d{3,4}(?![\w-])")
@@ -80,22 +86,26 @@ _ADDRESS = re.compile(
     rf"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm|steig){S}+\d{{1,4}}[a-z]?(?![\w])"
     rf")"
 )
-_NAME_AFTER_CUE = re.compile(
+#: A cue at the end of what stands before a name.
+_CUE = re.compile(
     rf"(?:^|(?<=[^\w]))(?:"
-    rf"(?i:assignee|reporter|owner|cc|author|name|contact(?:{S}+person)?|attn|signed|from|submitter|reviewer|approver|prénom{S}+nom|nombre|nom){S}*:{S}*"
-    rf"|(?i:reported|filed|submitted|found|raised|signed|confirmed|sent){S}+(?i:by){S}+"
-    rf"|(?i:thanks|thank{S}+you|credit|credits|kudos){S}+(?i:to){S}+"
-    rf"|(?i:(?:kind|best|warm){S}+regards|regards|sincerely|cheers|thanks|best|merci|cordialement|gracias|saludos|un{S}+saludo|danke|(?:viele|beste|liebe|mit{S}+freundlichen){S}+grüßen?|gruß|grüße"
+    rf"(?:assignee|reporter|owner|cc|author|name|contact(?:{S}+person)?|attn|signed|from|submitter|reviewer|approver|prénom{S}+nom|nombre|nom){S}*:{S}*"
+    rf"|(?:reported|filed|submitted|found|raised|signed|confirmed|sent){S}+by{S}+"
+    rf"|(?:thanks|thank{S}+you|credit|credits|kudos){S}+to{S}+"
+    rf"|(?:(?:kind|best|warm){S}+regards|regards|sincerely|cheers|thanks|best|merci|cordialement|gracias|saludos|un{S}+saludo|danke|(?:viele|beste|liebe|mit{S}+freundlichen){S}+grüßen?|gruß|grüße"
     rf"|obrigad[oa]|спасибо|с{S}+уважением|よろしくお願いします|ありがとう(?:ございます)?|敬具|以上)[,;.:、。]?{S}*(?:\r?\n{S}*)?"
-    rf"|(?i:gez|gezeichnet|i\.{S}?A|p\.{S}?p)\.?:?{S}+"
-    rf"|(?:\n|^){S}*(?:--|—|–){S}*"
-    rf"|(?i:as){S}+(?={TITLE}?{NAME}{S}+(?i:wrote|said|noted|mentioned))"
-    rf"|(?=(?:Mr|Ms|Mrs|Mx|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?|Srta)\b)"
-    rf"){TITLE}?(?P<span>{NAME})(?![\w])",
-    re.M,
+    rf"|(?:gez|gezeichnet|i\.{S}?A|p\.{S}?p)\.?:?{S}+"
+    rf"|^{S}*(?:--|—|–){S}*"
+    rf"){TITLE}?\Z|(?:^|(?<=[^\w])){TITLE}\Z",
+    re.I | re.M,
 )
+CUE_CHARS = 60
+_SAYS = re.compile(rf"{S}+(?:wrote|said|noted|mentioned)\b", re.I)
+#: Names in scripts without capitals stand before an honorific; fixed values: what else stands there.
+_HONORED = re.compile(r"(?<![\u3400-\u9fffァ-ヶー가-힣])(?P<span>[\u3400-\u9fffァ-ヶー]{2,8})(?=[ \u3000]?(?:さん|様|氏|先生))|(?<![가-힣])(?P<hangul>[가-힣]{2,4})(?=[ ]?(?:씨|님))")
+_NO_PERSON = re.compile(r"担当|管理|利用|皆|客|開発|関係|各位|部|課|係|者$|員$|社$|고객|회원|관리자|담당")
 #: Every place where two words look like a name; the score decides.
-_NAME = re.compile(rf"(?<![\w.@/'’-])(?=[^\W\d_a-z])(?=(?P<span>{NAME})(?!\w))")
+_NAME = re.compile(rf"(?<![\w@/'’])(?=[^\W\d_a-z])(?=(?P<span>{NAME})(?!\w))")
 _NAME_BEFORE = re.compile(
     r"(?:\b(?:spoke|spoken|speak|talked|talk|chatted|met|meeting|worked|working|agreed|checked)\s+(?:with|to)|\b(?:according|thanks|addressed|assigned|forwarded)\s+to"
     r"|\b(?:written|reported|filed|found|raised|signed|confirmed|sent|opened|closed|fixed|reviewed|approved|requested|led)\s+by|\b(?:mail|e-mail|email|message|call|letter|reply|note|word|help|feedback)\s+from"
@@ -141,6 +151,8 @@ _PHONE_AGAINST = re.compile(
     r"\b(?:frames?|code|bytes|copied|offset|ticket|resolution|build|version|revision|port|pid|serial|differ|error|hash)\b", re.I
 )
 _ADDRESS_AGAINST = re.compile(r"^\s+(?:volumes?|tiles?|entries|items?|folders?|icons?|mounts?|buttons?|panels?|views?|drives?|shares?|shortcuts?|modes?)\b", re.I)
+_ADDRESS_WORDS = re.compile(r"address|\b(?:live|lives|living|located|office|ship|deliver|visit|mail)\b|adresse|anschrift|wohn|dirección|domicil|habit|endereço|адрес|住所", re.I)
+_TOWN = re.compile(rf"^,?{S}+(?:\d{{4,6}}{S}+{UPPER}|{UPPER}[\w-]+,?{S}+(?:\d|[A-Z]{{1,2}}\d))")
 _ADDRESS_AGAINST_BEFORE = re.compile(r"\b(?:mounts|lists|shows|volumes)\s+$", re.I)
 
 
@@ -156,6 +168,44 @@ def mod97(iban: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def _weighted(digits: str, weights: list[int]) -> int:
+    return sum(int(d) * w for d, w in zip(digits, weights))
+
+
+def _cpf(digits: str) -> bool:
+    rest = [_weighted(digits, list(range(n, 1, -1))) * 10 % 11 % 10 for n in (10, 11)]
+    return len(digits) == 11 and rest == [int(digits[9]), int(digits[10])]
+
+
+def _tax_id(digits: str) -> bool:
+    """Eleven digits, the last by ISO 7064 modulus 11,10."""
+    if len(digits) != 11:
+        return False
+    product = 10
+    for d in digits[:10]:
+        product = ((int(d) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == int(digits[10])
+
+
+#: Checks of numbers by their label: the digits, or for Spain the number with its letter.
+_CHECKS = {
+    "pesel": lambda d, _: len(d) == 11 and (_weighted(d, [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]) + int(d[10])) % 10 == 0,
+    "cpf": lambda d, _: _cpf(d),
+    "nir": lambda d, _: len(d) == 15 and (int(d[:13]) + int(d[13:])) % 97 == 0,
+    "bsn": lambda d, _: len(d) == 9 and _weighted(d, [9, 8, 7, 6, 5, 4, 3, 2, -1]) % 11 == 0,
+    "steuer": lambda d, _: _tax_id(d),
+    "dni": lambda d, n: len(d) == 8 and n[-1:].upper() == "TRWAGMYFPDXBNJZSQVHLCKE"[int(d) % 23],
+    "nif": lambda d, n: len(d) == 8 and n[-1:].upper() == "TRWAGMYFPDXBNJZSQVHLCKE"[int(d) % 23],
+}
+
+
+def checksum(label: str, number: str) -> bool | None:
+    """Whether the number passes the check that its label names; None if it names none."""
+    low = label.lower()
+    check = next((c for name, c in _CHECKS.items() if low.startswith(name)), None)
+    return None if check is None else check(re.sub(r"\D", "", number), number)
+
+
 @dataclass(frozen=True, order=True)
 class Span:
     start: int
@@ -193,7 +243,13 @@ def _name_score(text: str, start: int, end: int) -> float:
     span = text[start:end]
     words = re.findall(r"[^\W\d_]+", span)
     low = [w.lower() for w in words]
-    if low[0] in ROLES or low[-1] in ROLES or any(c.isdigit() for c in span) or not _NO_NAME.isdisjoint(w for w in low if len(w) > 1):
+    if low[0] in ROLES or low[-1] in ROLES or any(c.isdigit() for c in span):
+        return 0.1
+    if _CUE.search(text[max(0, start - CUE_CHARS) : start]) or (text[max(0, start - 3) : start].lower() == "as " and _SAYS.match(text, end)):
+        return 0.8
+    if text[start - 1 : start] in (".", "-") and start:
+        return 0.1  # within a file name or a compound
+    if not _NO_NAME.isdisjoint(w for w in low if len(w) > 1):
         return 0.1
     before, after = _around(text, start, end)
     score = 0.3
@@ -214,19 +270,29 @@ def _name_score(text: str, start: int, end: int) -> float:
     return min(score, 0.75)  # a cue beside it is worth more
 
 
+def _identity_score(label: str, text: str, start: int, end: int) -> float:
+    """A label makes an identity number, a passed checksum confirms it; written-down numbers often fail theirs."""
+    sound = checksum(label, text[start:end])
+    score = 0.7 + (0.2 if sound else 0.0) - (0.1 if sound is False else 0.0)
+    return score - (0.3 if label.lower() in ("id", "bi", "rg", "insurance") and _PHONE_AGAINST.search(_around(text, start, end)[0]) else 0.0)
+
+
 def propose(text: str) -> Iterator[Span]:
     """Every span that a pattern proposes, with its score after checks and context."""
-    low = "@" in text or "at" in text
-    if low:
+    if _EMAIL_SIGN.search(text):
         for m in _EMAIL.finditer(text):
             start, end = m.span()
-            before = text[max(0, start - 12) : start]
-            plain = not re.search(r"://[^\s]*$", before) and text[end : end + 1] not in (":", "/")
             if text[start:end].lower().startswith("mailto"):
                 continue
-            yield Span(start, end, "email", 0.9 if plain or "://" not in before else 0.1)
+            before, after = _around(text, start, end)
+            in_url = re.search(r"://[^\s]*$", before) or ("://" in before[-12:] and text[end : end + 1] in (":", "/"))
+            cued = _EMAIL_WORDS.search(before) or _EMAIL_WORDS.search(after)
+            yield Span(start, end, "email", 0.6 + (0.3 if cued else 0.0) - (0.7 if in_url else 0.0))
     for m in _IDENTITY.finditer(text):
-        yield Span(*m.span("span"), "identity_number", 0.9)
+        start, end = m.span("span")
+        label = _LABELLED.search(text[max(0, start - LABEL_CHARS) : start])
+        if label:
+            yield Span(start, end, "identity_number", _identity_score(label["label"], text, start, end))
     for m in _IBAN.finditer(text):
         if mod97(m[0]):
             yield Span(*m.span(), "identity_number", 0.8)
@@ -238,14 +304,15 @@ def propose(text: str) -> Iterator[Span]:
     for m in _ADDRESS.finditer(text):
         start, end = m.span()
         before, after = _around(text, start, end)
+        score = 0.6 + (0.2 if _ADDRESS_WORDS.search(before) or _TOWN.search(after) else 0.0)
         against = _ADDRESS_AGAINST.search(after) or _ADDRESS_AGAINST_BEFORE.search(before)
-        yield Span(start, end, "street_address", 0.2 if against else 0.8)
-    for m in _NAME_AFTER_CUE.finditer(text):
-        words = re.findall(r"[^\W\d_]+", m["span"])
-        role = words[-1].lower() in ROLES or words[0].lower() in ROLES or any(c.isdigit() for c in m["span"])
-        yield Span(*m.span("span"), "person_name", 0.1 if role else 0.8)
+        yield Span(start, end, "street_address", score - (0.5 if against else 0.0))
     for m in _NAME.finditer(text):
-        yield Span(*m.span("span"), "person_name", _name_score(text, *m.span("span")))
+        start, end = m.span("span")
+        yield Span(start, end, "person_name", _name_score(text, start, end))
+    for m in _HONORED.finditer(text):
+        start, end = m.span(m.lastgroup)
+        yield Span(start, end, "person_name", 0.2 if _NO_PERSON.search(text[start:end]) else 0.6)
 
 
 def spans(text: str | None) -> list[Span]:
@@ -254,9 +321,10 @@ def spans(text: str | None) -> list[Span]:
         return []
     kept: list[Span] = []
     for s in sorted((s for s in propose(text) if s.score >= THRESHOLD), key=lambda s: (-s.score, s.start - s.end, s.start)):
-        if all(s.end <= k.start or k.end <= s.start for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        at = bisect_left(kept, s)
+        if (at == 0 or kept[at - 1].end <= s.start) and (at == len(kept) or s.end <= kept[at].start):
+            kept.insert(at, s)
+    return kept
 
 
 def redact(text: str | None, found: list[Span]) -> str | None:

@@ -76,3 +76,24 @@ def test_tables(spark):
 )
 def test_personal_information_in_other_wordings(text, want):
     assert [(s.kind, text[s.start : s.end]) for s in pii.spans(text)] == want
+
+
+@pytest.mark.parametrize(
+    ("label", "number", "want"),
+    [("PESEL", "44051401359", True), ("PESEL", "44051401358", False), ("CPF", "529.982.247-25", True), ("CPF", "529.982.247-24", False), ("DNI", "12345678Z", True),
+     ("NIF", "12345678A", False), ("BSN", "111222333", True), ("Steuer-ID", "86 095 742 719", True), ("Steuer-ID", "86 095 742 718", False), ("passport", "X1234567", None)],
+)
+def test_checksums_by_label(label, number, want):
+    assert pii.checksum(label, number) is want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Спасибо, Ирина Соколова", [("person_name", "Ирина Соколова")]), ("Reported by Şule Čapková.", [("person_name", "Şule Čapková")]),
+        ("昨日、山田太郎さんが確認しました。", [("person_name", "山田太郎")]), ("ご担当者様", []), ("김민수 씨가 확인했습니다.", [("person_name", "김민수")]),
+        ("ftp://ann:pw@host.example/x", []), ("My address: 12 Larch Street, Hull 12345", [("street_address", "12 Larch Street")]),
+    ],
+)
+def test_scripts_and_context(text, want):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.spans(text)] == want
