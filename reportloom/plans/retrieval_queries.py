@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reportloom.functions import text as tx
 from reportloom.operators import mining, retrieval, sampling
 from reportloom.plans.registry import query
-from reportloom.plans.text_queries import s_squeeze, s_tokens
+from reportloom.plans.text_queries import s_squeeze, s_strip, s_tokens
 from reportloom.plans.views import CANDIDATES, REPORTS, candidates, reports
 from reportloom.session import table
 
@@ -41,20 +41,25 @@ def ret02(spark: SparkSession, d: str) -> DataFrame:
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-_TFIDF = f"""WITH {_POST}, n AS (SELECT count(*) AS n FROM d), idf AS (SELECT term, ln((1 + any_value(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM post, n GROUP BY term),
- dv AS (SELECT doc_id, term, tf * idf AS w FROM post JOIN idf USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM dv GROUP BY ALL),
+_PAIRED = "list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+_GRAMS = (
+    f"WITH d AS (SELECT doc_id, {s_tokens('text')} AS t FROM documents), all_post AS (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_PAIRED.format(t='t')}) AS w FROM d WHERE len(t) > 0) GROUP BY ALL),"
+    f" n AS (SELECT count(*) AS n FROM d), vocab AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY sum(tf) DESC, term) AS place FROM all_post GROUP BY term),"
+    f" idf AS (SELECT term, df, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM vocab, n WHERE place <= {retrieval.MOST_TERMS})"
+)
+_TFIDF = f"""{_GRAMS}, qd AS (SELECT item_id, {s_tokens('text')} AS t FROM test_items), q AS (SELECT item_id, w AS term, count(*) AS qtf FROM (SELECT item_id, unnest({_PAIRED.format(t='t')}) AS w FROM qd WHERE len(t) > 0) GROUP BY ALL),
+ dv AS (SELECT doc_id, term, tf * idf AS w FROM all_post JOIN idf USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM dv GROUP BY ALL),
  qv AS (SELECT item_id, term, qtf * idf AS w FROM q JOIN idf USING (term)), qn AS (SELECT item_id, sqrt(sum(w * w)) AS z FROM qv GROUP BY ALL),
  s AS (SELECT item_id, doc_id, sum(qv.w / qn.z * dv.w / dn.z) AS score FROM qv JOIN qn USING (item_id) JOIN dv USING (term) JOIN dn USING (doc_id) GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
  SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3"""
 
 
-@query("ret01_tfidf_terms")
+@query("ret01_tfidf_terms", f"{_GRAMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def ret01(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.tfidf_terms(table(spark, d, "documents"), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-# the SQL still has single words and all of them only, the query word pairs and the most frequent terms
 @query("ret05_tfidf_topk", _TFIDF)
 def ret05(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
@@ -92,10 +97,9 @@ def ret10(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.random_k(docs, docs, 2, 42)
 
 
-# the SQL still cuts each text after 40 characters and drops those without product, which the query has whole
 @query(
     "ret12_exemplars",
-    _BM25.replace("SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3", "SELECT item_id, string_agg(product || ':' || left(text, 40), ' ## ' ORDER BY rank) AS examples FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id"),
+    _BM25.replace("SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3", "SELECT item_id, string_agg(coalesce(product, '') || ':' || text, ' ## ' ORDER BY rank) AS examples FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id"),
 )
 def ret12(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents")
@@ -160,22 +164,26 @@ def src09(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).groupBy("row_id").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_set("pref_profile")).alias("profiles"))
 
 
-_USABLE = "u AS (SELECT * FROM cand WHERE score IS NOT NULL)"
+_USABLE = (
+    "u AS (SELECT row_id, coalesce(candidate_index, 1000000000) AS candidate_index, coalesce(candidate_rank, 1000000000) AS candidate_rank, coalesce(score, 0.0) AS score,"
+    f" coalesce(nullif(ua, 'NaN'::DOUBLE), 0.0) AS ua, coalesce(nullif(cond, 'NaN'::DOUBLE), 0.0) AS cond, {s_strip("coalesce(candidate_text, '')")} AS candidate_text FROM cand)"
+)
 
 
 def _s_mine(rule: str, p: mining.Policy) -> str:
-    key = "candidate_rank ASC NULLS LAST, score DESC, candidate_index" if rule == "remine" else "score DESC, candidate_index"
+    key = "candidate_rank, score DESC, candidate_index" if rule == "remine" else "score DESC, candidate_index"
     capped = p.uahe_cap > 0 if rule == "mine" else p.uahe_cap >= 0
     cap = f" WHEN ua > {p.uahe_cap} THEN 'uahe_cap'" if capped else ""
     order = " AND r.ua >= b.ua" if p.uahe_order or rule == "sweep" else ""
     slack = " + 1e-12" if rule == "remine" else ""
-    once = " AND trim(coalesce(r.candidate_text, '')) <> ''" if rule == "remine" else ""
-    dedup = "f2 AS (SELECT *, row_number() OVER (PARTITION BY row_id, candidate_text ORDER BY score, candidate_index DESC) AS c FROM f), g AS (SELECT * FROM f2 WHERE c = 1)" if rule == "remine" else "g AS (SELECT * FROM f)"
+    once = " AND r.candidate_text <> ''" if rule == "remine" else ""
+    dedup = "f2 AS (SELECT *, row_number() OVER (PARTITION BY row_id, candidate_text ORDER BY candidate_rank DESC, score, candidate_index DESC) AS c FROM f), g AS (SELECT * FROM f2 WHERE c = 1)" if rule == "remine" else "g AS (SELECT * FROM f)"
     none = "no_valid_reject" if rule == "sweep" else "no_reject"
+    worst = "candidate_rank DESC, score, candidate_index DESC" if rule == "remine" else "score, candidate_index DESC"
     return f"""WITH {CANDIDATES}, {_USABLE}, o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {key}) AS place FROM u),
  b AS (SELECT *, CASE WHEN score < {p.quality_floor} THEN 'below_quality_floor'{cap} WHEN cond < {p.min_cond} THEN 'min_cond' ELSE 'ok' END AS why FROM o WHERE place = 1),
  f AS (SELECT r.* FROM u r JOIN b USING (row_id) WHERE b.why = 'ok' AND r.candidate_index <> b.candidate_index AND b.score - r.score{slack} >= {p.margin}::DOUBLE AND r.candidate_text IS DISTINCT FROM b.candidate_text{order}{once}),
- {dedup}, k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score, candidate_index DESC) AS pair_no FROM g)
+ {dedup}, k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {worst}) AS pair_no FROM g)
  SELECT b.row_id, CASE WHEN b.why = 'ok' AND k.pair_no IS NULL THEN '{none}' ELSE b.why END AS reason, k.pair_no::INTEGER AS pair_no, CASE WHEN k.pair_no IS NOT NULL THEN b.candidate_index END AS chosen_index,
   k.candidate_index AS rejected_index, CASE WHEN k.pair_no IS NOT NULL THEN b.score END AS chosen_score, k.score AS rejected_score
  FROM b LEFT JOIN (SELECT * FROM k WHERE pair_no <= {1 if rule == 'sweep' else p.pairs}) k ON k.row_id = b.row_id"""

@@ -136,8 +136,7 @@ def scl13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(100)
 
 
-# the SQL still leaves out texts of 3,000 characters or more, which the query has
-@query("txt01_tokens", f"SELECT doc_id, {s_tokens('text')} AS tokens FROM documents WHERE text IS NOT NULL AND length(text) < 3000")
+@query("txt01_tokens", f"SELECT doc_id, {s_tokens('text')} AS tokens FROM documents WHERE text IS NOT NULL")
 def txt01(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.tokens(F.col("text")).alias("tokens"))
 
