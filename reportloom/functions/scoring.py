@@ -11,10 +11,17 @@ from reportloom.functions.text import word_count
 ENVIRONMENT_WORDS = ("android", "ios", "chrome", "firefox", "windows", "macos")
 SCREENSHOT_WORDS = ("screenshot", "attached image", "see attachment")
 GUIDELINE_WORDS = ("please see", "as shown in the image", "attachment")
-INTERFACE_WORDS = ("adapter", "button", "page", "menu", "dialog", "tab", "screen")
+#: The list shipped with the indicators, and the one that stands in where no list is given.
+SYSTEM_DEFECT_WORDS = tuple(
+    """blocked broke broken crash critical defeats defect defective degrades delayed destroy dirty discarded emergency empty error
+    excluded exhaustive failed failure fatal fault faulty forbidden freezes freezing ignore ignored ignoring ineffectiveness insecure
+    interrupted interruption isolated lack lag lagging lags leak loss lost missing mistake mistakes negative no obsolete obstacle overload
+    panic panicked poison poisoned postponed problem problematic problems rejected rejection risk stop stopped stuck suspended trivial
+    trouble unstable unsupported violation vulnerability vulnerable warning weakness weaknesses wrong""".split()
+)
 DEFECT_WORDS = ("crash", "down", "flashback", "overlap", "too big", "too small", "freeze")
 DIRECT_VERBS = ("login", "register", "logout")
-QUALITY_DIVISOR, QUALITY_REACHABLE = 16.0, 18
+QUALITY_DIVISOR = 16.0
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -63,8 +70,12 @@ def mean_sentence_length(text: Column) -> Column:
     return F.when(F.size(pieces) > 0, word_count(text) / F.size(pieces))
 
 
-def quality_indicators(text: Column) -> dict[str, Column]:
-    """Points of the indicators that need no parser. A sentence piece with a line break fails RM3."""
+def quality_indicators(text: Column, defects: tuple[str, ...] = SYSTEM_DEFECT_WORDS, verbs: tuple[str, ...] = DIRECT_VERBS) -> dict[str, Column]:
+    """Points of the indicators that need no parser. A sentence piece with a line break fails RM3.
+
+    ``defects`` and ``verbs`` are word lists; empty ones fall back to the short lists.
+    """
+    defects, verbs = defects or DEFECT_WORDS, verbs or DIRECT_VERBS
     points = lambda c, p=1: F.when(F.coalesce(c, F.lit(False)), p).otherwise(0)
     pieces = F.filter(F.transform(F.split(F.trim(text), r"[.!?]"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     return {
@@ -77,8 +88,8 @@ def quality_indicators(text: Column) -> dict[str, Column]:
         "rr3": points(names_any(text, ENVIRONMENT_WORDS), 2),
         "rr4": points(names_any(text, SCREENSHOT_WORDS)),
         "rr5": points(names_any(text, GUIDELINE_WORDS)),
-        "ra2": points(names_any(text, DIRECT_VERBS), 2),
-        "ra3": points(names_any(text, DEFECT_WORDS), 2),
+        "ra2": points(names_any(text, verbs), 2),
+        "ra3": points(names_any(text, defects), 2),
     }
 
 

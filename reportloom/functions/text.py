@@ -16,6 +16,19 @@ KINDS = tuple(ENTITY_PATTERNS)
 WORD = r"[\p{L}\p{N}_]+"
 
 
+#: Spellings of the three splits.
+SPLIT_NAMES = {"train": ("train", "training", "trn"), "val": ("val", "valid", "validation", "dev"), "test": ("test", "testing", "tst")}
+
+
+def split_name(x: Column) -> Column:
+    """train, val or test for any of its spellings, regardless of case and of all but letters; else null."""
+    bare = F.regexp_replace(F.lower(x), "[^a-z]+", "")
+    out = F.lit(None).cast("string")
+    for name, spellings in SPLIT_NAMES.items():
+        out = F.when(bare.isin(*spellings), name).otherwise(out)
+    return out
+
+
 def fold(pattern: str) -> str:
     """The pattern regardless of case, with Unicode classes."""
     return "(?iU)" + pattern
@@ -90,7 +103,7 @@ def window_around(text: Column, needle: Column, margin: int = 80) -> Column:
 
 def tokens(x: Column) -> Column:
     """Lower-cased word tokens."""
-    return F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), F.lower)
+    return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
 def word_count(x: Column) -> Column:

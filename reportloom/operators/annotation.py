@@ -98,6 +98,36 @@ def refined_flag(surface: Column, context: Column) -> Column:
     )
 
 
+def binary_extraction(raw: Column) -> Column:
+    """TP for whatever begins with it, regardless of case and outer blanks; anything else, null included, is FP."""
+    return F.when(F.upper(strip(F.coalesce(raw, F.lit("")))).startswith("TP"), "TP").otherwise("FP")
+
+
+def plain_attribution(raw: Column) -> Column:
+    """input, retrieval or unattributed, the first that the text contains; else NA."""
+    low = F.lower(F.coalesce(raw, F.lit("")))
+    return F.when(low.contains("input"), "input").when(low.contains("retrieval"), "retrieval").when(low.contains("unattributed"), "unattributed").otherwise("NA")
+
+
+#: Short names of where an entity comes from.
+SHORT = {"input": "IAHE", "retrieval": "RAHE", "unattributed": "UAHE"}
+
+
+def attribution_check(given: Column, in_input: Column, in_retrieval: Column, in_gen: Column) -> Column:
+    """Whether a given attribution (long or short name) is right: NA, Y or N with its reason; a null flag is no."""
+    yes = lambda c: F.coalesce(c == 1, F.lit(False))
+    is_ = lambda name: F.coalesce(given.isin(name, SHORT[name]), F.lit(False))
+    i, r = yes(in_input), yes(in_retrieval)
+    expected = F.when(i, SHORT["input"]).when(r, SHORT["retrieval"]).otherwise(SHORT["unattributed"])
+    return (
+        F.when(~yes(in_gen), "NA:not_in_gen")
+        .when(is_("input") & i, "Y:correct_input_attr")
+        .when(is_("retrieval") & ~i & r, "Y:correct_retrieval_attr")
+        .when(is_("unattributed") & ~i & ~r, "Y:correct_unattributed")
+        .otherwise(F.concat(F.lit("N:mismatch_expected_"), expected))
+    )
+
+
 def attribution_label(in_input: Column, in_retrieval: Column) -> Column:
     """input before retrieval before unattributed."""
     return F.when(in_input == 1, "input").when(in_retrieval == 1, "retrieval").otherwise("unattributed")

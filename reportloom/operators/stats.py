@@ -163,3 +163,11 @@ def majority(votes: Column) -> Column:
     strong = F.filter(counted, lambda e: e["c"] >= 2)
     best = F.aggregate(strong, F.struct(F.lit(0).alias("c"), F.lit("no_consensus").alias("x")), lambda s, e: F.when(e["c"] > s["c"], e).otherwise(s))
     return best["x"]
+
+
+def precision_recall(sums: DataFrame, tp: str, fp: str, fn: str) -> DataFrame:
+    """Adds precision, recall and f1, four digits; an empty denominator counts as one."""
+    t, one = F.col(tp), F.lit(1)
+    pr, re = t / F.greatest(one, t + F.col(fp)), t / F.greatest(one, t + F.col(fn))
+    f1 = 2 * pr * re / F.greatest(F.lit(1e-9), pr + re)
+    return sums.withColumns({"precision": F.round(pr, 4), "recall": F.round(re, 4), "f1": F.round(f1, 4)})

@@ -127,10 +127,21 @@ def sam02(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42)
 
 
-@query("sta13_tp_only_kappa", f"WITH {_ENT}, {_LAB}, q AS (SELECT b, c FROM lb WHERE a = 'TP' AND b IS NOT NULL AND c IS NOT NULL), m AS (SELECT count(*) AS n, count_if(b = c)::DOUBLE / count(*) AS po, count_if(b = 'TP')::DOUBLE / count(*) * count_if(c = 'TP') / count(*) + count_if(b = 'FP')::DOUBLE / count(*) * count_if(c = 'FP') / count(*) AS pe FROM q) SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM m")
+def _s_kappa(x: str, y: str) -> str:
+    return (
+        f"(SELECT '{x}-{y}' AS pair, n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count_if({x}_attr = {y}_attr)::DOUBLE / count(*) AS po FROM tp WHERE {x}_attr IS NOT NULL AND {y}_attr IS NOT NULL),"
+        f" (SELECT sum(p * q) AS pe FROM (SELECT {x}_attr AS l, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM tp WHERE {x}_attr IS NOT NULL AND {y}_attr IS NOT NULL GROUP BY 1)"
+        f" JOIN (SELECT {y}_attr AS l, count(*)::DOUBLE / sum(count(*)) OVER () AS q FROM tp WHERE {x}_attr IS NOT NULL AND {y}_attr IS NOT NULL GROUP BY 1) USING (l)) WHERE n >= 5)"
+    )
+
+
+# attribution of the entities that the first two annotators both call right
+@query("sta13_attribution_agreement", f"WITH {_ENT}, {_LAB}, tp AS (SELECT * FROM lb WHERE a = 'TP' AND b = 'TP') " + " UNION ALL ".join(_s_kappa(x, y) for x, y in ("ab", "ac", "bc")))
 def sta13(spark: SparkSession, d: str) -> DataFrame:
-    k = stats.kappa(_labels(spark, d).where("a = 'TP'"), "b", "c")
-    return k.select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+    tp = _labels(spark, d).where("a = 'TP' and b = 'TP'")
+    pairs = [F.struct(F.lit(f"{x}-{y}").alias("pair"), F.col(f"{x}_attr").alias("x"), F.col(f"{y}_attr").alias("y")) for x, y in ("ab", "ac", "bc")]
+    k = stats.kappa(tp.select(F.explode(F.array(*pairs)).alias("p")).select("p.*"), "x", "y", "pair").where("n >= 5")
+    return k.select("pair", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
 @query("src05_word_list", "SELECT DISTINCT lower(placeholder) AS word FROM placeholders WHERE placeholder IS NOT NULL")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportloom.functions.text import SPLIT_NAMES, split_name
 from reportloom.operators import annotation, stats
 from reportloom.plans.registry import query
-from reportloom.plans.views import CANDIDATES, candidates
+from reportloom.plans.text_queries import s_strip
+from reportloom.plans.views import CANDIDATES, candidates, newest
 from reportloom.session import table
+from reportloom.sources.writers import content_mark
 
 _BY = "model, pref_profile"
 
@@ -31,11 +34,11 @@ def agg03(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).groupBy("align_context").agg(F.round(F.avg("ua"), 6).alias("ua_mean"), F.round(F.stddev_pop("ua"), 6).alias("ua_std"))
 
 
-_ENT = "ent AS (SELECT entity_id, row_id, condition_id, model, entity_type, entity_surface, in_input, in_retrieval, in_gen, gen_context, annota_extraction, annota_attribution FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY labelled_at DESC NULLS LAST, md5(concat_ws('|', annota_extraction, annota_attribution)) DESC) AS age FROM entity_level_annota WHERE entity_id IS NOT NULL) WHERE age = 1)"
+_ENT = "ent AS (SELECT entity_id, row_id, condition_id, model, entity_type, entity_surface, in_input, in_retrieval, in_gen, gen_context, regex_attribution, annota_extraction, annota_attribution FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY labelled_at DESC NULLS LAST, md5(concat_ws('|', annota_extraction, annota_attribution)) DESC) AS age FROM entity_level_annota WHERE entity_id IS NOT NULL) WHERE age = 1)"
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["row_id", "condition_id", "model", "entity_type", "entity_surface", "in_input", "in_retrieval", "in_gen", "gen_context", "annota_extraction", "annota_attribution"]
+    columns = ["row_id", "condition_id", "model", "entity_type", "entity_surface", "in_input", "in_retrieval", "in_gen", "gen_context", "regex_attribution", "annota_extraction", "annota_attribution"]
     key = F.struct("labelled_at", F.md5(F.concat_ws("|", "annota_extraction", "annota_attribution").cast("binary")))
     rows = table(spark, d, "entity_level_annota").where("entity_id is not null").groupBy("entity_id").agg(F.max_by(F.struct(*columns), key).alias("r"))
     return rows.select("entity_id", "r.*")
@@ -51,13 +54,18 @@ def agg05(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(whole)).withColumn("pct_rows", F.round(100.0 * F.col("rows_with_entity") / F.col("n"), 1)).drop("n")  # one row
 
 
-@query("agg06_precision_recall", f"WITH {_ENT} SELECT model, sum((in_gen = 1 AND in_input = 1)::INT)::BIGINT AS tp, sum((in_gen = 1 AND in_input = 0)::INT)::BIGINT AS fp, sum((in_gen = 0 AND in_input = 1)::INT)::BIGINT AS fn, round(sum((in_gen = 1 AND in_input = 1)::INT) / greatest(1.0, sum((in_gen = 1)::INT)), 6) AS precision, round(sum((in_gen = 1 AND in_input = 1)::INT) / greatest(1.0, sum((in_input = 1)::INT)), 6) AS recall FROM ent GROUP BY ALL")
+@query(
+    "agg06_precision_recall",
+    f"WITH {_ENT}, s AS (SELECT entity_type, count_if(in_gen = 1 AND upper(annota_extraction) LIKE 'TP%')::BIGINT AS tp, count_if(in_gen = 1 AND upper(annota_extraction) LIKE 'FP%')::BIGINT AS fp, count_if(coalesce(in_gen, 0) = 0 AND in_input = 1)::BIGINT AS fn FROM ent GROUP BY ALL),"
+    " p AS (SELECT *, tp / greatest(1, tp + fp)::DOUBLE AS pr, tp / greatest(1, tp + fn)::DOUBLE AS re FROM s) SELECT entity_type, tp, fp, fn, round(pr, 4) AS precision, round(re, 4) AS recall, round(2 * pr * re / greatest(1e-9, pr + re), 4) AS f1 FROM p",
+)
 def agg06(spark: SparkSession, d: str) -> DataFrame:
-    tp, fp, fn = (F.count_if(c) for c in (F.expr("in_gen = 1 and in_input = 1"), F.expr("in_gen = 1 and in_input = 0"), F.expr("in_gen = 0 and in_input = 1")))
-    one = F.lit(1.0)
-    return entities(spark, d).groupBy("model").agg(
-        tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.round(tp / F.greatest(one, (tp + fp).cast("double")), 6).alias("precision"), F.round(tp / F.greatest(one, (tp + fn).cast("double")), 6).alias("recall")
+    e = entities(spark, d).withColumn("l", F.upper("annota_extraction"))
+    sums = e.groupBy("entity_type").agg(
+        F.count_if((F.col("in_gen") == 1) & F.col("l").startswith("TP")).alias("tp"), F.count_if((F.col("in_gen") == 1) & F.col("l").startswith("FP")).alias("fp"),
+        F.count_if((F.coalesce("in_gen", F.lit(0)) == 0) & (F.col("in_input") == 1)).alias("fn"),
     )
+    return stats.precision_recall(sums, "tp", "fp", "fn")
 
 
 @query("agg09_pool_stats", f"WITH {CANDIDATES}, s AS (SELECT pref_profile, row_id, count(*) AS c, max(score) - min(score) AS spread FROM cand WHERE score IS NOT NULL GROUP BY ALL), a AS (SELECT pref_profile, count(*) AS n_prompts, round(avg(spread), 6) AS spread_mean, round(quantile_cont(spread, 0.5), 6) AS spread_median FROM s GROUP BY ALL) SELECT a.*, b.* EXCLUDE (pref_profile) FROM a JOIN (SELECT pref_profile, count(*) AS n_candidates, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std, min(score) AS score_min, max(score) AS score_max FROM cand WHERE score IS NOT NULL GROUP BY ALL) b ON a.pref_profile IS NOT DISTINCT FROM b.pref_profile")
@@ -77,9 +85,13 @@ def agg12(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).where("annota_extraction is not null").groupBy("entity_type").agg(F.count("*").alias("labelled"), tp.alias("tp"), F.round(100.0 * tp / F.count("*"), 1).alias("precision_pct"))
 
 
-@query("agg13_groups_per_split", "SELECT lower(trim(split)) AS split_name, count(DISTINCT group_id) AS groups, count(DISTINCT row_id) AS records FROM splits GROUP BY ALL")
+_SPLIT = "regexp_replace(lower(split), '[^a-z]+', '', 'g')"
+_S_SPLIT = "CASE " + " ".join(f"WHEN {_SPLIT} IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in SPLIT_NAMES.items()) + " END"
+
+
+@query("agg13_groups_per_split", f"SELECT {_S_SPLIT} AS split_name, count(DISTINCT group_id) AS groups, count(DISTINCT row_id) AS records FROM splits GROUP BY ALL")
 def agg13(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "splits").groupBy(F.lower(F.trim("split")).alias("split_name")).agg(F.count_distinct("group_id").alias("groups"), F.count_distinct("row_id").alias("records"))
+    return table(spark, d, "splits").groupBy(split_name(F.col("split")).alias("split_name")).agg(F.count_distinct("group_id").alias("groups"), F.count_distinct("row_id").alias("records"))
 
 
 @query("agg14_verify", "SELECT count(*) AS n, count(DISTINCT sheet_id) AS n_distinct, round(avg(length(gen_text)), 4) AS mean_chars, count_if(gen_text IS NULL)::BIGINT AS n_null FROM annotation_sheet")
@@ -91,8 +103,7 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk08_content_hash")
 def snk08(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "dpo_pairs")
-    return t.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*t.columns)).alias("content_hash"))
+    return content_mark(table(spark, d, "dpo_pairs"))
 
 
 # conditions: two return flags over the customers' mean discounts
@@ -166,15 +177,32 @@ def sta01(spark: SparkSession, d: str) -> DataFrame:
     return stats.interval(means, "g").select("g", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
 
 
-_LAB = "la AS (SELECT entity_id, CASE WHEN starts_with(annota_extraction, 'TP') THEN 'TP' WHEN starts_with(annota_extraction, 'FP') THEN 'FP' END AS a FROM ent), gp AS (SELECT entity_id, max(CASE WHEN extraction LIKE 'TP%' THEN 'TP' WHEN extraction LIKE 'FP%' THEN 'FP' END) AS b FROM result_gpt_merged WHERE entity_id IS NOT NULL GROUP BY ALL), gm AS (SELECT entity_id, max(CASE WHEN extraction LIKE 'TP%' THEN 'TP' WHEN extraction LIKE 'FP%' THEN 'FP' END) AS c FROM result_gemini_merged WHERE entity_id IS NOT NULL GROUP BY ALL), lb AS (SELECT entity_id, entity_type, a, b, c FROM ent JOIN la USING (entity_id) LEFT JOIN gp USING (entity_id) LEFT JOIN gm USING (entity_id))"
+def _s_binary(x: str) -> str:
+    return f"CASE WHEN starts_with(upper({s_strip(f"coalesce({x}, '')")}), 'TP') THEN 'TP' ELSE 'FP' END"
+
+
+def _s_plain(x: str) -> str:
+    return f"CASE WHEN contains(lower(coalesce({x}, '')), 'input') THEN 'input' WHEN contains(lower(coalesce({x}, '')), 'retrieval') THEN 'retrieval' WHEN contains(lower(coalesce({x}, '')), 'unattributed') THEN 'unattributed' ELSE 'NA' END"
+
+
+def _s_newest(name: str) -> str:
+    return f"(SELECT entity_id, extraction, attribution FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY labelled_at DESC NULLS LAST, md5(concat_ws('|', extraction, attribution)) DESC) AS age FROM {name} WHERE entity_id IS NOT NULL) WHERE age = 1)"
+
+
+_LAB = (
+    f"lb AS (SELECT ent.entity_id, entity_type, {_s_binary('annota_extraction')} AS a, CASE WHEN gp.entity_id IS NOT NULL THEN {_s_binary('gp.extraction')} END AS b, CASE WHEN gm.entity_id IS NOT NULL THEN {_s_binary('gm.extraction')} END AS c,"
+    f" {_s_plain('annota_attribution')} AS a_attr, CASE WHEN gp.entity_id IS NOT NULL THEN {_s_plain('gp.attribution')} END AS b_attr, CASE WHEN gm.entity_id IS NOT NULL THEN {_s_plain('gm.attribution')} END AS c_attr"
+    f" FROM ent LEFT JOIN {_s_newest('result_gpt_merged')} gp ON ent.entity_id = gp.entity_id LEFT JOIN {_s_newest('result_gemini_merged')} gm ON ent.entity_id = gm.entity_id)"
+)
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    pure = lambda c: F.when(F.col(c).startswith("TP"), "TP").when(F.col(c).startswith("FP"), "FP")
-    out = entities(spark, d).select("entity_id", "entity_type", pure("annota_extraction").alias("a"))
+    """Each entity's latest labels by three annotators, b and c null where they have no entry."""
+    binary, plain = annotation.binary_extraction, annotation.plain_attribution
+    out = entities(spark, d).select("entity_id", "entity_type", binary(F.col("annota_extraction")).alias("a"), plain(F.col("annota_attribution")).alias("a_attr"))
     for name, c in (("gpt", "b"), ("gemini", "c")):
-        other = table(spark, d, f"result_{name}_merged").where("entity_id is not null").groupBy("entity_id").agg(F.max(pure("extraction")).alias(c))
-        out = out.join(other, "entity_id", "left")
+        other = newest(table(spark, d, f"result_{name}_merged"), "entity_id", "labelled_at", ["extraction", "attribution"])
+        out = out.join(other.select("entity_id", binary(F.col("extraction")).alias(c), plain(F.col("attribution")).alias(f"{c}_attr")), "entity_id", "left")
     return out
 
 
@@ -230,9 +258,15 @@ def ann05(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entity_id", label.alias("label"))
 
 
-@query("ann04_attribution_label", f"WITH {_ENT} SELECT entity_id, CASE WHEN in_input = 1 THEN 'input' WHEN in_retrieval = 1 THEN 'retrieval' ELSE 'unattributed' END AS label FROM ent")
+@query(
+    "ann04_attribution_check",
+    f"WITH {_ENT}, f AS (SELECT entity_id, regex_attribution AS g, coalesce(in_input = 1, false) AS i, coalesce(in_retrieval = 1, false) AS r, coalesce(in_gen = 1, false) AS o FROM ent)"
+    " SELECT entity_id, CASE WHEN NOT o THEN 'NA:not_in_gen' WHEN g = 'input' AND i THEN 'Y:correct_input_attr' WHEN g = 'retrieval' AND NOT i AND r THEN 'Y:correct_retrieval_attr' WHEN g = 'unattributed' AND NOT i AND NOT r THEN 'Y:correct_unattributed'"
+    " ELSE 'N:mismatch_expected_' || CASE WHEN i THEN 'IAHE' WHEN r THEN 'RAHE' ELSE 'UAHE' END END AS label FROM f",
+)
 def ann04(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).select("entity_id", annotation.attribution_label(F.col("in_input"), F.col("in_retrieval")).alias("label"))
+    check = annotation.attribution_check(F.col("regex_attribution"), F.col("in_input"), F.col("in_retrieval"), F.col("in_gen"))
+    return entities(spark, d).select("entity_id", check.alias("label"))
 
 
 @query("set01_bag_union", "SELECT origin, count(*) AS n, count(score)::BIGINT AS scored FROM (SELECT 'c' AS origin, row_id, prefscore AS score FROM candidates UNION ALL SELECT 'p', row_id, chosen_score FROM dpo_pairs UNION ALL SELECT 's', row_id, NULL FROM annotation_sheet) GROUP BY ALL")

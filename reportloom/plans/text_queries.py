@@ -356,7 +356,7 @@ _Q = {
     "rr4": "CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in scoring.SCREENSHOT_WORDS) + " THEN 1 ELSE 0 END",
     "rr5": "CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in scoring.GUIDELINE_WORDS) + " THEN 1 ELSE 0 END",
     "ra2": "CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in scoring.DIRECT_VERBS) + " THEN 2 ELSE 0 END",
-    "ra3": "CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in scoring.DEFECT_WORDS) + " THEN 2 ELSE 0 END",
+    "ra3": "CASE WHEN " + " OR ".join(f"contains(lower(t), '{w}')" for w in scoring.SYSTEM_DEFECT_WORDS) + " THEN 2 ELSE 0 END",
 }
 _Q["rm2"] = (
     "CASE WHEN len(regexp_extract_all(t, '[A-Za-z]+')) > 0 AND 206.835::DOUBLE - 1.015::DOUBLE * len(regexp_extract_all(t, '[A-Za-z]+')) / greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: regexp_matches(s, '[A-Za-z]'))))"

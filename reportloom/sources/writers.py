@@ -48,7 +48,8 @@ def table_once(rows: DataFrame, path: str) -> DataFrame:
 
 def content_mark(rows: DataFrame) -> DataFrame:
     """(n, content_hash): row count and a hash that no order of rows changes."""
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("content_hash"))
+    total = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))  # a sum, as equal rows would cancel in an exclusive or
+    return rows.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("content_hash"))
 
 
 def with_metadata(rows: DataFrame, path: str, config: dict) -> None:
