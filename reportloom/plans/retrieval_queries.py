@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportloom.functions import text as tx
-from reportloom.operators import mining, retrieval, sampling
+from reportloom.operators import mining, retrieval, sampling, scan
 from reportloom.plans.registry import query
 from reportloom.plans.text_queries import s_squeeze, s_strip, s_tokens
 from reportloom.plans.views import CANDIDATES, REPORTS, candidates, reports
@@ -24,15 +24,14 @@ _BM25 = f"""WITH {_POST}, n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM
  SELECT item_id, doc_id, round(score, 4) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3"""
 
 
-def _hits(scores: DataFrame, k: int) -> DataFrame:
-    best = retrieval.top_k(scores, "q", "doc", k)
+def _hits(best: DataFrame) -> DataFrame:
     return best.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
 
 
 @query("ret06_bm25_topk", _BM25)
 def ret06(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select(F.col("item_id"), "text"), table(spark, d, "documents").select("doc_id", "text")
-    return _hits(retrieval.bm25(items, docs, "item_id", "doc_id", "text"), 3)
+    return _hits(scan.bm25_topk(items, docs, "item_id", "doc_id", "text", 3))
 
 
 @query("ret02_bm25_terms", f"WITH {_POST}, n AS (SELECT count(*) AS n FROM d) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM post, n GROUP BY term")
@@ -57,13 +56,13 @@ _TFIDF = f"""{_GRAMS}, qd AS (SELECT item_id, {s_tokens('text')} AS t FROM test_
 
 @query("ret01_tfidf_terms", f"{_GRAMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def ret01(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.tfidf_terms(table(spark, d, "documents"), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
+    return scan.tfidf_terms(table(spark, d, "documents"), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("ret05_tfidf_topk", _TFIDF)
 def ret05(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
-    return _hits(retrieval.tfidf(items, docs, "item_id", "doc_id", "text"), 3)
+    return _hits(scan.tfidf_topk(items, docs, "item_id", "doc_id", "text", 3))
 
 
 @query(
@@ -73,7 +72,7 @@ def ret05(spark: SparkSession, d: str) -> DataFrame:
 )
 def ret04(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "embeddings")
-    return retrieval.dense_topk(base.where("vec_id % 100 = 0"), base, "vec_id", "vec_id", "embedding", 5).select("q", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return scan.dense_topk(base.where("vec_id % 100 = 0"), base, "vec_id", "vec_id", "embedding", 5).select("q", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
 _EXCL = _BM25[: _BM25.index(" r AS (SELECT *")].replace("test_items", "(SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0)") + """
@@ -86,9 +85,8 @@ _EXCL = _BM25[: _BM25.index(" r AS (SELECT *")].replace("test_items", "(SELECT d
 @query("ret09_exclusion", _EXCL)
 def ret09(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "ticket_key")
-    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("item_id"), "text")
-    scores = retrieval.bm25(asked, docs, "item_id", "doc_id", "text")
-    return _hits(retrieval.without_own(scores, docs.select(F.col("doc_id").alias("id"), F.col("ticket_key").alias("group_id"))), 2)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("item_id"), "text", "ticket_key")
+    return _hits(scan.bm25_topk(asked, docs, "item_id", "doc_id", "text", 2, "ticket_key", "ticket_key"))
 
 
 @query("ret10_random_k")
@@ -103,7 +101,7 @@ def ret10(spark: SparkSession, d: str) -> DataFrame:
 )
 def ret12(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents")
-    hits = retrieval.top_k(retrieval.bm25(items, docs.select("doc_id", "text"), "item_id", "doc_id", "text"), "q", "doc", 3)
+    hits = scan.bm25_topk(items, docs.select("doc_id", "text"), "item_id", "doc_id", "text", 3)
     packed = retrieval.exemplars(hits, docs, "doc_id", ["product", "text"])
     whole = lambda e: F.concat(F.coalesce(e["product"], F.lit("")), F.lit(":"), e["text"])
     return packed.select(F.col("q").alias("item_id"), F.array_join(F.transform("examples", whole), " ## ").alias("examples"))

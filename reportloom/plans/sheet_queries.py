@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions import scoring
 from reportloom.functions import text as tx
-from reportloom.operators import mining, retrieval, sampling, stats
+from reportloom.operators import mining, retrieval, sampling, scan, stats
 from reportloom.plans.registry import query
 from reportloom.plans.retrieval_queries import _DRAW
 from reportloom.plans.stats_queries import _ENT, _LAB, _labels
@@ -70,7 +70,7 @@ def ann01(spark: SparkSession, d: str) -> DataFrame:
 @query("txt24_prompt_budget")
 def txt24(spark: SparkSession, d: str) -> DataFrame:
     items, docs = table(spark, d, "test_items").select("item_id", "text"), table(spark, d, "documents").where("text is not null")
-    hits = retrieval.top_k(retrieval.bm25(items, docs.select("doc_id", "text"), "item_id", "doc_id", "text"), "q", "doc", 3)
+    hits = scan.bm25_topk(items, docs.select("doc_id", "text"), "item_id", "doc_id", "text", 3)
     packed = retrieval.exemplars(hits, docs, "doc_id", ["product", "text"]).withColumnRenamed("q", "item_id")
     rows = items.join(packed, "item_id", "left").withColumn("t", tx.truncated(tx.tokens(F.col("text")), 64, "head_tail"))
     rows = rows.withColumn("sizes", F.coalesce(F.transform("examples", lambda e: F.size(tx.truncated(tx.tokens(e["text"]), 96, "head"))), F.array().cast("array<int>")))
@@ -98,12 +98,13 @@ _MASKED = [s_tokens(s_mask(c, ("URL", "HASH", "FILE"))) for c in ("gt_text", "ge
     f"WITH {REPORTS}, {SHEET}, t AS (SELECT sheet_id, {_MASKED[0]} AS a, {_MASKED[1]} AS b FROM sheet JOIN reports USING (row_id) WHERE gt_text IS NOT NULL AND gen_text IS NOT NULL),"
     " ca AS (SELECT sheet_id, w, count(*) AS c FROM (SELECT sheet_id, unnest(a) AS w FROM t) GROUP BY ALL), cb AS (SELECT sheet_id, w, count(*) AS c FROM (SELECT sheet_id, unnest(b) AS w FROM t) GROUP BY ALL),"
     " h AS (SELECT sheet_id, sum(least(ca.c, cb.c)) AS hit FROM ca JOIN cb USING (sheet_id, w) GROUP BY ALL)"
-    " SELECT sheet_id, round(CASE WHEN len(a) > 0 THEN coalesce(hit, 0)::DOUBLE / len(a) ELSE 0 END, 6) AS rouge1_r_norm FROM t LEFT JOIN h USING (sheet_id)",
+    " SELECT sheet_id, round(CASE WHEN len(a) > 0 THEN coalesce(hit, 0)::DOUBLE / len(a) ELSE 0 END, 6) AS rouge1_r_norm, round(CASE WHEN coalesce(hit, 0) > 0 THEN 2.0 * (hit::DOUBLE / len(b)) * (hit::DOUBLE / len(a)) / (hit::DOUBLE / len(b) + hit::DOUBLE / len(a)) ELSE 0 END, 6) AS rouge1_f1_norm FROM t LEFT JOIN h USING (sheet_id)",
 )
 def sco03(spark: SparkSession, d: str) -> DataFrame:
     rows = sheet(spark, d).join(reports(spark, d).select("row_id", "gt_text"), "row_id").where("gt_text is not null and gen_text is not null")
     rows = rows.select("sheet_id", *[tx.tokens(tx.similarity_form(F.col(c))).alias(n) for c, n in (("gt_text", "a"), ("gen_text", "b"))])
-    return rows.select("sheet_id", F.round(scoring.rouge1(F.col("a"), F.col("b"))["rouge1_r"], 6).alias("rouge1_r_norm"))
+    scored = scoring.rouge1_rows(rows, "sheet_id", "a", "b")
+    return scored.select("sheet_id", F.round("rouge1_r", 6).alias("rouge1_r_norm"), F.round("rouge1_f1", 6).alias("rouge1_f1_norm"))
 
 
 @query(

@@ -344,7 +344,7 @@ def txt25(spark: SparkSession, d: str) -> DataFrame:
 def sco01(spark: SparkSession, d: str) -> DataFrame:
     rows = sheet(spark, d).join(reports(spark, d).select("row_id", "gt_text"), "row_id").where("gt_text is not null and gen_text is not null")
     rows = rows.select("sheet_id", tx.tokens(F.col("gt_text")).alias("a"), tx.tokens(F.col("gen_text")).alias("b"))
-    return rows.select("sheet_id", *[F.round(c, 6).alias(k) for k, c in scoring.rouge1(F.col("a"), F.col("b")).items()])
+    return scoring.rouge1_rows(rows, "sheet_id", "a", "b").select("sheet_id", *[F.round(k, 6).alias(k) for k in ("rouge1_r", "rouge1_f1")])
 
 
 _Q = {
