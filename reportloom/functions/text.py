@@ -178,10 +178,16 @@ def truncated(toks: Column, most: int, mode: str) -> Column:
     return F.when(n <= most, toks).otherwise(cut)
 
 
+#: The headings of a prompt's blocks.
+EXAMPLE_INPUT, EXAMPLE_OUTPUT = "### Example Input:\n", "\n\n### Example Bug Report:\n"
+INPUT, RESPONSE = "### Input:\n", "\n\n### Response:\n"
+
+
 def prompt(system: Column, examples: Column, given: Column) -> Column:
-    """System text, example blocks (structs of given and made) and the input block, with blank lines between."""
-    blocks = F.transform(examples, lambda e: F.concat(F.lit("Example input:\n"), e["given"], F.lit("\nExample output:\n"), e["made"]))
-    return F.array_join(F.concat(F.array(system), blocks, F.array(F.concat(F.lit("Input:\n"), given))), "\n\n")
+    """System text, example blocks (structs of given and made) and the input block, all stripped, with blank lines between."""
+    block = lambda e: F.concat(F.lit(EXAMPLE_INPUT), strip(e["given"]), F.lit(EXAMPLE_OUTPUT), strip(e["made"]), F.lit("\n"))
+    last = F.concat(F.lit(INPUT), strip(given), F.lit(RESPONSE))
+    return F.array_join(F.concat(F.array(strip(system)), F.transform(examples, block), F.array(last)), "\n\n")
 
 
 def fitting_examples(sizes: Column, room: Column) -> Column:

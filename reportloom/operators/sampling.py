@@ -49,3 +49,20 @@ def two_strata(rows: DataFrame, first: str, key: str, n: int, share: float, seed
     order = Window.partitionBy("_s").orderBy(draw(F.lit(seed), F.col(key)), key)
     placed = marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).crossJoin(F.broadcast(have))  # one row
     return placed.where(F.col("_n") <= F.when(F.col("_s"), yes).otherwise(no)).drop("_s", "_n", "_yes", "_no")
+
+
+def prompt_split(rows: DataFrame, prompt: str, share: float, seed: int) -> DataFrame:
+    """Adds is_eval: floor(share of the different prompts), one at least, go to evaluation with all their rows.
+
+    Null prompts are one prompt. Prompts are ranked by hash, within hash ranges, so no task holds all.
+    """
+    prompts = rows.select(F.col(prompt).alias("_p")).distinct().withColumn("_d", draw(F.lit(seed), F.coalesce("_p", F.lit(""))))
+    cells = prompts.withColumn("_cell", F.floor(F.col("_d") / (1 << 22)))
+    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_c"))  # at most 1024 cells
+    whole = Window.partitionBy(F.lit(1))
+    ahead = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_cell", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("_all"))
+    inside = Window.partitionBy("_cell").orderBy("_d", "_p")
+    placed = cells.join(F.broadcast(sizes), "_cell").withColumn("_i", F.col("_before") + F.row_number().over(inside))  # 1024 rows
+    chosen = placed.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_all") * share))).select("_p", F.lit(True).alias("_e"))
+    return rows.join(chosen, F.col(prompt).eqNullSafe(F.col("_p")), "left").withColumn("is_eval", F.coalesce("_e", F.lit(False))).drop("_p", "_e")

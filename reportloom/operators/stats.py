@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportloom.session import Scratch
+
 
 def paired(values: DataFrame, key: str, condition: str, value: str, a: object, b: object, *groups: str) -> DataFrame:
     """(groups, key, a, b, delta): values of two conditions side by side, keys with both only.
@@ -77,7 +79,8 @@ def with_corrections(tests: DataFrame, p: str, tie: str, *groups: str) -> DataFr
 def tau_b(rows: DataFrame, level: str, value: str, *groups: str, digits: int = 9) -> DataFrame:
     """(groups, n, n_levels, tau_b): Kendall's tau-b of a few ordered levels against a measure.
 
-    From counts by value and level; pairs are never formed. tau is zero if either side is constant.
+    From counts by value and level; pairs are never formed. tau is zero and p one if either side
+    is constant. z and p are those of the normal approximation, corrected for ties.
     """
     clean = rows.where(F.col(level).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = clean.groupBy(*groups, F.round(value, digits).alias("y"), F.col(level).alias("x")).agg(F.count("*").alias("c"))
@@ -96,13 +99,48 @@ def tau_b(rows: DataFrame, level: str, value: str, *groups: str, digits: int = 9
         "disc", F.col("c") * F.coalesce(F.sum("less").over(down), F.lit(0))
     )
     s = full.groupBy(*groups).agg((F.sum("conc") - F.sum("disc")).cast("double").alias("s"), F.sum("c").cast("double").alias("n"))
-    n1 = levels.groupBy(*groups).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"), F.count("*").alias("n_levels"))
-    n2 = values.groupBy(*groups).agg(F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("n2"))
+    n1 = levels.groupBy(*groups).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"), F.count("*").alias("n_levels"), *_tie_sums("t", "x"))
+    n2 = values.groupBy(*groups).agg(F.sum(F.col("u") * (F.col("u") - 1) / 2).alias("n2"), *_tie_sums("u", "y"))
     joined = s.join(n1, list(groups)).join(n2, list(groups)) if groups else s.crossJoin(n1).crossJoin(n2)
     n0 = F.col("n") * (F.col("n") - 1) / 2
     root = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return joined.select(*groups, F.col("n").cast("bigint").alias("n"), "n_levels", F.when(root > 0, F.col("s") / root).otherwise(0.0).alias("tau_b"))
+    n = F.col("n")
+    variance = (n * (n - 1) * (2 * n + 5) - F.col("x5") - F.col("y5")) / 18 + 2 * F.col("n1") * F.col("n2") / (n * (n - 1))
+    variance = variance + F.when(n > 2, F.col("x2") * F.col("y2") / (9 * n * (n - 1) * (n - 2))).otherwise(0.0)
+    z = F.when((root > 0) & (variance > 0), F.col("s") / F.sqrt(variance)).otherwise(0.0)
+    out = joined.select(*groups, n.cast("bigint").alias("n"), "n_levels", F.when(root > 0, F.col("s") / root).otherwise(0.0).alias("tau_b"), z.alias("z"))
+    return out.withColumn("p", F.when(F.col("z") == 0, 1.0).otherwise(normal_p(F.col("z"))))
+
+
+def _tie_sums(t: str, name: str) -> list[Column]:
+    """What ties add to the variance of tau's numerator."""
+    c = F.col(t).cast("double")
+    return [F.sum(c * (c - 1) * (2 * c + 5)).alias(f"{name}5"), F.sum(c * (c - 1) * (c - 2)).alias(f"{name}2")]
+
+
+def bootstrap_tau(rows: DataFrame, key: str, level: str, value: str, draws: int, seed: int, *groups: str, alpha: float = 0.05) -> DataFrame:
+    """(groups, ci_lo, ci_hi): linear percentiles of tau-b over ``draws`` resamples of all rows of a group.
+
+    In each resample a row counts as often as a Poisson number with mean one says, drawn by a
+    hash of seed, resample and key. Rows with null level or value are left out.
+    """
+    clean = rows.where(F.col(level).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*groups, key, level, value)
+    each = clean.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    hashed = F.xxhash64(F.lit(seed), "b", key)
+    each = each.withColumn("_u", hashed.bitwiseXOR(F.shiftrightunsigned(hashed, 32)).bitwiseAND(F.lit((1 << 32) - 1))).where(F.col("_u") >= _POISSON[0])
+    times = F.when(F.col("_u") < _POISSON[1], 1)
+    for k in range(2, len(_POISSON)):
+        times = times.when(F.col("_u") < _POISSON[k], k)
+    drawn = each.withColumn("_c", F.explode(F.sequence(F.lit(1), times.otherwise(len(_POISSON))))).drop("_u", "_c")
+    return interval(tau_b(drawn, level, value, *groups, "b").withColumnRenamed("tau_b", "m"), *groups, alpha=alpha)
+
 
+def summary(tests: DataFrame, value: str, q: str, item: str, *groups: str, level: float = 0.05) -> DataFrame:
+    """(groups, mean, median, min, max of the value, mean q, different items, significant ones); null q isn't significant."""
+    return tests.groupBy(*groups).agg(
+        F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.avg(q).alias("mean_q"), F.count_distinct(item).alias("n_items"), F.count_if(F.col(q) < level).alias("n_sig"),
+    )  # results of tests, a few for each group
 
 #: 32-bit limits of the Poisson distribution with mean one; a count is the number of limits at or below a draw.
 _POISSON = tuple(round((1 << 32) * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12))
@@ -171,3 +209,16 @@ def precision_recall(sums: DataFrame, tp: str, fp: str, fn: str) -> DataFrame:
     pr, re = t / F.greatest(one, t + F.col(fp)), t / F.greatest(one, t + F.col(fn))
     f1 = 2 * pr * re / F.greatest(F.lit(1e-9), pr + re)
     return sums.withColumns({"precision": F.round(pr, 4), "recall": F.round(re, 4), "f1": F.round(f1, 4)})
+
+
+def numbered(rows: DataFrame, by: str, name: str, *ties: str) -> DataFrame:
+    """Adds the number (from one) of each row in the order of ``by`` and ``ties``, without one task sorting all rows.
+
+    Rows are spread by ranges of the order; the sizes of the ranges before are added to the number within a range.
+    """
+    spread = Scratch(rows.sparkSession, "numbered").keep(rows.repartitionByRange(by, *ties).withColumn("_part", F.spark_partition_id()))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_c"))  # as many as partitions
+    ahead = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(by, *ties)
+    return spread.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_part", "_before")

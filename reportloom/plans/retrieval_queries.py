@@ -157,11 +157,6 @@ def joi04(spark: SparkSession, d: str) -> DataFrame:
     return per.join(known, "row_id", "left").select("row_id", "candidates", F.coalesce("known", F.lit(False)).alias("mined"))
 
 
-@query("src09_contiguous_groups")
-def src09(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(spark, d).groupBy("row_id").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_set("pref_profile")).alias("profiles"))
-
-
 _USABLE = (
     "u AS (SELECT row_id, coalesce(candidate_index, 1000000000) AS candidate_index, coalesce(candidate_rank, 1000000000) AS candidate_rank, coalesce(score, 0.0) AS score,"
     f" coalesce(nullif(ua, 'NaN'::DOUBLE), 0.0) AS ua, coalesce(nullif(cond, 'NaN'::DOUBLE), 0.0) AS cond, {s_strip("coalesce(candidate_text, '')")} AS candidate_text FROM cand)"

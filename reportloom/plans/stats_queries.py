@@ -165,7 +165,7 @@ def sta04(spark: SparkSession, d: str) -> DataFrame:
     " SELECT g AS model, n::BIGINT AS n, n_levels, round(s / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 6) AS tau_b FROM s JOIN n USING (g) JOIN n1 USING (g) JOIN n2 USING (g)",
 )
 def sta06(spark: SparkSession, d: str) -> DataFrame:
-    return stats.tau_b(candidates(spark, d).where("model is not null"), "k", "ua", "model").withColumn("tau_b", F.round("tau_b", 6))
+    return stats.tau_b(candidates(spark, d).where("model is not null"), "k", "ua", "model").select("model", "n", "n_levels", F.round("tau_b", 6).alias("tau_b"))
 
 
 #: Resamples of the query, each of all rows.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,8 +36,10 @@ def metadata(spark: SparkSession, root: str, schema: str | StructType, glob: str
     return rows.withColumn("meta_path", F.input_file_name())
 
 
-def split_table(spark: SparkSession, paths: dict[str, str], schema: str | StructType) -> DataFrame:
-    """The splits' files as one table with a split column."""
+def split_table(spark: SparkSession, paths: dict[str, str], schema: str | StructType) -> DataFrame | None:
+    """The splits' files as one table with a split column; None unless all of them exist."""
+    if paths and not all(exists(spark, p) for p in paths.values()):
+        return None
     out = None
     for name, path in sorted(paths.items()):
         part = csv(spark, path, schema).withColumn("row_id", F.col("row_id").cast("bigint")).withColumn("split", F.lit(name))
@@ -61,6 +65,11 @@ def with_synonyms(rows: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFra
     return rows.withColumnsRenamed(renames)
 
 
+def candidate_text(generated: str = "gen_text", stored: str = "candidate_text") -> Column:
+    """The generated text if there is one, else the stored candidate's, else empty."""
+    return F.coalesce(F.col(generated), F.col(stored), F.lit(""))
+
+
 def pool_score(components: str = "components.PrefScore", top: str = "pref_score") -> Column:
     """Preference score of a candidate from its components, else the top level, else zero."""
     return F.coalesce(F.col(components), F.col(top), F.lit(0.0))
@@ -78,3 +87,36 @@ def non_contiguous(rows: DataFrame, key: str, position: str) -> DataFrame:
     spread = rows.groupBy(key).agg(F.min(position).alias("lo"), F.max(position).alias("hi"), F.count("*").alias("n"))
     within = Window.partitionBy(key)
     return spread.where(F.col("hi") - F.col("lo") + 1 > F.col("n")).select(key, F.max("n").over(within).alias("n"))
+
+
+def _files(spark: SparkSession, pattern: str) -> list:
+    """File states (path, time of the last change) that match a glob."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_files(spark, path))
+
+
+def expanded(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Paths that match any of the globs, each once, in the order of the alphabet; none raises FileNotFoundError."""
+    found = sorted({str(f.getPath()) for p in patterns for f in _files(spark, p)})
+    if not found:
+        raise FileNotFoundError(f"no files match {patterns}")
+    return found
+
+
+def newest_with(spark: SparkSession, pattern: str, wanted: dict[str, object]) -> str | None:
+    """The artifact last changed among those whose metadata table agrees with ``wanted``, or None.
+
+    An artifact is a folder with a one-row table ``meta`` that has its configuration as JSON.
+    """
+    for f in sorted(_files(spark, pattern), key=lambda f: -f.getModificationTime()):
+        path = str(f.getPath())
+        if not exists(spark, f"{path}/meta/_SUCCESS"):
+            continue
+        config = json.loads(spark.read.parquet(f"{path}/meta").select("config").first().config)
+        if all(config.get(k) == v for k, v in wanted.items()):
+            return path
+    return None

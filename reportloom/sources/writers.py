@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ def flat(rows: DataFrame, first: list[str]) -> DataFrame:
 
 
 def csv(rows: DataFrame, path: str, digits: int = 6, compression: str = "none", mode: str = "errorifexists") -> None:
-    """CSV with a header, doubles rounded."""
-    out = rows.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in rows.schema])
+    """CSV with a header, floating numbers with a fixed number of digits; nulls stay empty."""
+    out = rows.select(*[F.when(F.col(f.name).isNotNull(), F.format_string(f"%.{digits}f", f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in rows.schema])
     out.write.mode(mode).option("header", True).option("escape", '"').csv(path, compression=compression)
 
 
@@ -64,3 +67,58 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     meta = spark.read.parquet(f"{path}/meta").select(F.col("n").alias("_n"), F.col("content_hash").alias("_h"))
     again = content_mark(spark.read.parquet(f"{path}/data"))
     return again.crossJoin(meta).select("n", "content_hash", ((F.col("n") == F.col("_n")) & F.col("content_hash").eqNullSafe(F.col("_h"))).alias("same"))  # one row each
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+@contextmanager
+def exclusive(spark: SparkSession, path: str, stale_hours: float = 24.0) -> Iterator[None]:
+    """Hold ``path.lock`` while a table is made; a lock younger than ``stale_hours`` raises FileExistsError."""
+    fs, lock = _file_system(spark, f"{path.rstrip('/')}.lock")
+    if fs.exists(lock):
+        age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
+        if age <= 3600 * stale_hours:
+            raise FileExistsError(str(lock))
+        fs.delete(lock, False)
+    fs.create(lock, False).close()  # fails if another writer was faster
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Remove a table, its metadata and its lock."""
+    for name in (path, f"{path.rstrip('/')}.lock"):
+        fs, target = _file_system(spark, name)
+        fs.delete(target, True)
+
+
+def run_dir(spark: SparkSession, root: str, run: str = "auto") -> str:
+    """The folder of a run: ``last`` (and ``auto`` if there is one) the run before, ``new`` one named by the time, else the run named."""
+    fs, pointer = _file_system(spark, f"{root.rstrip('/')}/LAST_RUN")
+    if run in ("last", "auto") and fs.exists(pointer):
+        return spark.read.text(str(pointer)).first().value.strip()
+    if run == "last":
+        raise FileNotFoundError(str(pointer))
+    path = run if "/" in run else f"{root.rstrip('/')}/{time.strftime('%Y%m%d-%H%M%S') if run in ('new', 'auto') else run}"
+    fs.mkdirs(_file_system(spark, path)[1])
+    out = fs.create(pointer, True)
+    out.write(bytearray(path.encode()))
+    out.close()
+    return path
+
+
+def index_once(spark: SparkSession, root: str, config: dict, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables of an index, made and written below the key of its configuration unless they are there already."""
+    path = f"{root.rstrip('/')}/{config_key(config)}"
+    fs, marker = _file_system(spark, f"{path}/DONE")
+    if not fs.exists(marker):
+        for name, table in make().items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        fs.create(marker, True).close()
+    names = [f.getPath().getName() for f in fs.listStatus(_file_system(spark, path)[1]) if f.isDirectory()]
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

@@ -54,9 +54,10 @@ def test_selection_rules_differ(spark):
     rows = [(1, 0, 1, 0.9, 1.0, 0.8, "a"), (1, 1, 2, 0.5, 0.5, 0.8, "b"), (1, 2, 3, 0.4, 2.0, 0.8, "b"), (1, 3, 4, 0.3, 2.0, 0.8, ""), (2, 0, 1, 0.9, 0.0, 0.1, "a"), (3, 0, 1, None, 0.0, 0.9, "a")]
     df = spark.createDataFrame(rows, CANDIDATES)
     picked = lambda p, rule: [(r.row_id, r.reason, r.rejected_index) for r in mining.mine(df, p, rule).orderBy("row_id", "pair_no").collect()]
-    assert picked(mining.Policy(), "mine") == [(1, "ok", 3), (1, "ok", 2), (2, "min_cond", None)]
-    assert picked(mining.Policy(), "remine") == [(1, "ok", 2), (2, "min_cond", None)]
-    assert picked(mining.Policy(), "sweep") == [(1, "ok", 3), (2, "min_cond", None)]
+    # the prompt with a null score counts as scored zero and has nothing to reject
+    assert picked(mining.Policy(), "mine") == [(1, "ok", 3), (1, "ok", 2), (2, "min_cond", None), (3, "no_reject", None)]
+    assert picked(mining.Policy(), "remine") == [(1, "ok", 2), (2, "min_cond", None), (3, "no_reject", None)]
+    assert picked(mining.Policy(), "sweep") == [(1, "ok", 3), (2, "min_cond", None), (3, "no_valid_reject", None)]
     assert picked(mining.Policy(uahe_cap=0.0), "mine")[0][1] == "ok" and picked(mining.Policy(uahe_cap=0.0), "remine")[0][1] == "uahe_cap"
     assert picked(mining.Policy(margin=0.95), "sweep")[0][1] == "no_valid_reject" and mining.mine(df.limit(0), mining.Policy()).count() == 0
 

@@ -55,7 +55,7 @@ def test_truncation_and_prompt(spark):
         tx.prompt(F.lit("S"), F.array(F.struct(F.lit("i").alias("given"), F.lit("o").alias("made"))), F.lit("x")).alias("p"),
     ).first()
     assert (r.h, r.l, r.b, r.k) == (["a", "b", "c"], ["d", "e", "f"], ["a", "e", "f"], 2)
-    assert r.p == "S\n\nExample input:\ni\nExample output:\no\n\nInput:\nx"
+    assert r.p == "S\n\n### Example Input:\ni\n\n### Example Bug Report:\no\n\n\n### Input:\nx\n\n### Response:\n"
 
 
 def parse(spark, text):
