@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reportloom.functions import text as tx
 from reportloom.operators import mining, retrieval, sampling, scan
 from reportloom.plans.registry import query
+from reportloom.plans.stats_queries import _S_SPLIT
 from reportloom.plans.text_queries import s_squeeze, s_strip, s_tokens
 from reportloom.plans.views import CANDIDATES, REPORTS, candidates, reports
 from reportloom.session import table
@@ -121,9 +122,9 @@ def sam01(spark: SparkSession, d: str) -> DataFrame:
     return sampling.group_split(keyed, "group_id", 42).select("row_id", "split_new")
 
 
-@query("joi03_leak_check", f"WITH {REPORTS} SELECT group_id, count(DISTINCT s) AS splits FROM (SELECT sha1({s_squeeze('gt_text')}) AS group_id, lower(trim(split)) AS s FROM reports WHERE gt_text IS NOT NULL) GROUP BY ALL HAVING count(DISTINCT s) > 1")
+@query("joi03_leak_check", f"WITH {REPORTS} SELECT group_id, count(DISTINCT s) AS splits FROM (SELECT sha1({s_squeeze('gt_text')}) AS group_id, {_S_SPLIT} AS s FROM reports WHERE gt_text IS NOT NULL) GROUP BY ALL HAVING count(DISTINCT s) > 1")
 def joi03(spark: SparkSession, d: str) -> DataFrame:
-    rows = reports(spark, d).where("gt_text is not null").select(tx.text_key(F.col("gt_text")).alias("group_id"), F.lower(F.trim("split")).alias("s"))
+    rows = reports(spark, d).where("gt_text is not null").select(tx.text_key(F.col("gt_text")).alias("group_id"), tx.split_name(F.col("split")).alias("s"))
     return sampling.leaks(rows, "group_id", "s")
 
 
