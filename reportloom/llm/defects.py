@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ from reportloom.session import ship
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
-#: Labelled texts per language that the language model is fitted on.
+#: Labelled texts per language in a sample; p4 fits on all.
 LANGUAGE_ROWS = 250
-#: Sound answers that the end-of-text model is fitted on.
+#: Sound answers with and without headings in a sample; p4 fits on all.
 END_ROWS = 1200
 #: Share of an answer's word triples that stand in the prompt from which it is a copy.
 COPY_SHARE = 0.6
@@ -27,6 +28,10 @@ LEAST_LETTERS, LANGUAGE_GAIN = 25, 0.05
 #: An answer is truncated if texts end, where its last symbols stand, less often than this.
 END_CHANCE = 0.02
 BUCKETS = 1 << 16
+#: What each bucket of a language has beforehand, as a share of its trigrams, so that strange words weigh the same however many texts there are; 0.1 at least.
+SMOOTH = 6e-7
+#: Last symbols that a task counts at once.
+HELD = 500_000
 END_SYMBOLS = 5
 ANY = "any"
 
@@ -66,6 +71,8 @@ _TASK = re.compile(
     re.I,
 )
 _SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|[。！？]+|\n+")
+#: A symbol with a line end, or a blank and a capital, behind it.
+_STOP = re.compile(r"[^\s](?=\n| A)")
 _SYMBOL = re.compile(r"[^\W\d_]+|\d+|\n+|[^\S\n]+|.", re.S)
 
 
@@ -128,11 +135,29 @@ class Languages:
     """Naive Bayes over hashed character trigrams."""
 
     def __init__(self, texts: list[tuple[str, str]]) -> None:
-        self.names = sorted({lang for lang, _ in texts})
-        counts = np.full((BUCKETS, max(1, len(self.names))), 0.1, np.float64)
+        self.fit(self.tally(texts))
+
+    @classmethod
+    def of_counts(cls, counted: dict[str, np.ndarray]) -> Languages:
+        """The model of the trigram counts of each language."""
+        self = cls.__new__(cls)
+        self.fit(counted)
+        return self
+
+    @classmethod
+    def tally(cls, texts: Iterable[tuple[str, str]]) -> dict[str, np.ndarray]:
+        """How often each bucket of trigrams occurs in each language."""
+        counted: dict[str, np.ndarray] = {}
+        for name, text in texts:
+            own = counted.setdefault(name, np.zeros(BUCKETS, np.int64))
+            np.add.at(own, cls.grams(letters(text))[0], 1)
+        return counted
+
+    def fit(self, counted: dict[str, np.ndarray]) -> None:
+        self.names = sorted(counted)
+        counts = np.ones((BUCKETS, max(1, len(self.names))), np.float64)
         for k, name in enumerate(self.names):
-            for _, text in (t for t in texts if t[0] == name):
-                counts[:, k] += np.bincount(self.grams(letters(text))[0], minlength=BUCKETS)
+            counts[:, k] = counted[name] + max(0.1, SMOOTH * counted[name].sum())
         self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     @staticmethod
@@ -178,13 +203,20 @@ def heading_kind(name: str) -> str:
     return "other"
 
 
+class _Kinds(dict):
+    """The symbol of what begins with a character."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = kind = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else "\n" if c == "\n" else " " if c.isspace() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def symbols(text: str) -> list[str]:
     """The text as coarse symbols: words, capital words, numbers, line ends, blanks, other characters."""
-    out = []
-    for s in _SYMBOL.findall(text):
-        c = s[0]
-        out.append("9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else "\n" if c == "\n" else " " if c.isspace() else c)
-    return out
+    return [_KINDS[s[0]] for s in _SYMBOL.findall(text)]
 
 
 def section_of(text: str) -> str:
@@ -205,37 +237,69 @@ class Endings:
     """
 
     def __init__(self, texts: list[str]) -> None:
-        ends: Counter = Counter()
-        seen: Counter = Counter()
-        finals: set[tuple[str, str]] = set()
+        self.fit((*key, *n) for key, n in self.merged((*key, *n) for key, n in self.tally(texts).items()).items())
+
+    @classmethod
+    def of_counts(cls, rows: Iterable[tuple[str, str, int, int, int]]) -> Endings:
+        """The model of the merged counts of all texts."""
+        self = cls.__new__(cls)
+        self.fit(rows)
+        return self
+
+    @staticmethod
+    def tally(texts: Iterable[str]) -> dict[tuple[str, str], list[int]]:
+        """(section, last symbols) -> [seen, of these at an end of sentence, at the end of a text]."""
+        seen_in: dict[str, Counter] = {}
+        stops: Counter = Counter()
+        finals: Counter = Counter()
         for text in texts:
             text = text.strip()
             cuts = [0, *(m.end() for m in _HEADING.finditer(text)), len(text)]
             for a, b in zip(cuts, cuts[1:]):  # one part for each section, after its heading
                 kind = section_of(text[:a]).rstrip("`") if a else "none"
                 fences = text[:a].count("`")
-                tail = symbols(text[max(0, a - 40) : a])[-END_SYMBOLS:]
-                whole = tail + symbols(text[a:b])
-                for i in range(len(tail), len(whole) + 1):
+                tail = "".join(symbols(text[max(0, a - 40) : a])[-END_SYMBOLS:])
+                whole = tail + "".join(symbols(text[a:b]))  # one character for each symbol
+                where = []
+                for i in range(len(tail), len(whole) + 1) if fences or "`" in whole[len(tail) :] else ():
                     fences += i > len(tail) and whole[i - 1] == "`"
-                    where = kind + "`" * (fences // 3 % 2)
-                    stops = i > len(tail) and not whole[i - 1].isalnum() and not whole[i - 1].isspace() and (whole[i : i + 1] == ["\n"] or whole[i : i + 2] == [" ", "A"])
-                    for n in range(1, END_SYMBOLS + 1):
-                        last = where, "".join(whole[max(0, i - n) : i])
-                        seen[last] += 1
-                        if kind == "none":
-                            ends[last] += stops
-                        else:
-                            anywhere = ANY, last[1]
-                            seen[anywhere] += 1
-                            ends[anywhere] += stops
-            final = symbols(text[-200:])
-            where = section_of(text)
-            finals.add((where, "".join(final[-1:])))
-            for n in range(1, END_SYMBOLS + 1):
-                ends[where, "".join(final[-n:])] += 1
-        self.chance = {k: ends.get(k, 0) / n for k, n in seen.items() if n >= 8 or ends.get(k)}
-        self.running = any(where == "none" and last for where, last in finals)
+                    where.append(kind + "`" * (fences // 3 % 2))
+                for n in range(1, END_SYMBOLS + 1):
+                    last = [whole[max(0, i - n) : i] for i in range(len(tail), len(whole) + 1)]
+                    if where:
+                        for w, x in zip(where, last):
+                            seen_in.setdefault(w, Counter())[x] += 1
+                    else:
+                        seen_in.setdefault(kind, Counter()).update(last)
+                for m in _STOP.finditer(whole, len(tail)):
+                    i = m.end()
+                    if not whole[i - 1].isalnum():
+                        at = where[i - len(tail)] if where else kind
+                        stops.update((at, whole[max(0, i - n) : i]) for n in range(1, END_SYMBOLS + 1))
+            final = "".join(symbols(text[-200:]))
+            if final:
+                finals.update((section_of(text), final[-n:]) for n in range(1, END_SYMBOLS + 1))
+        seen = {(w, x): n for w, counted in seen_in.items() for x, n in counted.items()}
+        return {k: [seen.get(k, 0), stops[k], finals[k]] for k in seen.keys() | finals.keys()}
+
+    @staticmethod
+    def merged(rows: Iterable[tuple[str, str, int, int, int]]) -> dict[tuple[str, str], list[int]]:
+        """The counts of all rows, and beside them those of any section with a heading."""
+        out: dict[tuple[str, str], list[int]] = {}
+        for where, last, *n in rows:
+            for at in (where,) if where.startswith("none") else (where, ANY):
+                out[at, last] = [x + y for x, y in zip(out.get((at, last), (0, 0, 0)), n)]
+        return out
+
+    def fit(self, rows: Iterable[tuple[str, str, int, int, int]]) -> None:
+        """Chances of the merged counts; last symbols that were seen less than 8 times count only if a text ends there."""
+        self.chance: dict[tuple[str, str], float] = {}
+        self.running = False
+        for where, last, seen, stops, finals in rows:
+            ends = stops if where == ANY else finals + stops if where.startswith("none") else finals
+            if seen and (seen >= 8 or ends):
+                self.chance[where, last] = ends / seen
+            self.running |= where == "none" and finals > 0
 
     def of(self, text: str) -> float:
         """The chance that a text ends where this one does."""
@@ -317,6 +381,57 @@ def ending_sample(sound: DataFrame, rows: int = END_ROWS) -> list[str]:
     return [r.text for r in few.withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows).select("text").collect()]
 
 
+def all_languages(documents: DataFrame) -> Languages:
+    """The language model of all labelled texts: trigrams are counted where the texts lie, only counts are shuffled."""
+    ship(documents.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, own in Languages.tally(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
+                counted[name] = counted.get(name, 0) + own
+        packed = [zlib.compress(c.astype("<i8").tobytes(), 1) for c in counted.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(packed, pa.binary())], ["l", "counts"])
+
+    def add(found: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, np.int64)
+        for c in found.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), "<i8")
+        return pa.table({"l": pa.array([found.column("l")[0].as_py()], pa.string()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    labelled = documents.select(language_name(F.col("lang")).alias("l"), F.col("text").alias("t")).where("l is not null and length(t) >= 80")
+    schema = "l string, counts binary"
+    rows = labelled.mapInArrow(count, schema).groupBy("l").applyInArrow(add, schema).collect()  # a table of fixed size for each language
+    return Languages.of_counts({r.l: np.frombuffer(zlib.decompress(r.counts), "<i8") for r in rows})
+
+
+def all_endings(sound: DataFrame) -> Endings:
+    """The end-of-text model of all different sound answers; what is collected are the last symbols that its rule keeps."""
+    ship(sound.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[tuple[str, str], list[int]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for key, n in Endings.tally(batch.column(0).slice(at, 500).to_pylist()).items():
+                    old = counted.get(key)
+                    counted[key] = [x + y for x, y in zip(old, n)] if old else n
+                if len(counted) > HELD:
+                    yield packed(counted)
+                    counted = {}
+        yield packed(counted)
+
+    def packed(counted: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in counted], pa.string()) for i in (0, 1)] + [pa.array([n[i] for n in counted.values()], pa.int64()) for i in (0, 1, 2)]
+        return pa.RecordBatch.from_arrays(columns, ["at", "last", "seen", "stops", "finals"])
+
+    different = sound.where("length(text) >= 80").select("text").distinct()
+    rows = different.mapInArrow(count, "at string, last string, seen bigint, stops bigint, finals bigint")
+    either = F.when(F.col("at").startswith("none"), F.array("at")).otherwise(F.array("at", F.lit(ANY)))
+    merged = rows.withColumn("at", F.explode(either)).groupBy("at", "last").agg(*[F.sum(c).alias(c) for c in ("seen", "stops", "finals")])
+    return Endings.of_counts(tuple(r) for r in merged.where("seen >= 8 or stops > 0 or finals > 0").collect())
+
+
 def find(answers: DataFrame, languages: Languages, endings: Endings) -> DataFrame:
     """(origin, record_id, defect) of every defective record of ``answers``.
 

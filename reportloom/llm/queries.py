@@ -68,8 +68,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
             F.col("mined_at").alias("at"),
         )
     )
-    languages = defects.Languages(defects.language_sample(table(spark, d, "documents")))
-    endings = defects.Endings(defects.ending_sample(pairs.select(F.col("chosen").alias("text"))))
+    languages = defects.all_languages(table(spark, d, "documents"))
+    endings = defects.all_endings(pairs.select(F.col("chosen").alias("text")))
     return defects.find(answers, languages, endings)
 
 

@@ -98,3 +98,35 @@ def test_no_caps(models):
     ]
     assert verdicts(models, [("Describe it", a) for a, _ in cases]) == [d for _, d in cases]
     assert not defects.declines(prose) and not defects.declines("I'm sorry, but I can't read the log.\n" + good)
+
+
+def test_models_are_fitted_on_all_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [report(rng, rng.choice([EN, DE])) for _ in range(150)] + [". ".join(rng.choice(EN).capitalize() for _ in range(5)) + "." for _ in range(40)]
+    texts += ["**Summary**\nA table ``` of a | b. And c.\n``` follows here, it is long enough to count among the texts ;)", texts[0]]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate((" ".join(rng.sample(s, 3)), lang) for s, lang in ((EN, "en-US"), (DE, " DE")) for _ in range(300))]
+    monkeypatch.setattr(defects, "HELD", 50)  # tasks hand on their counts in several pieces
+    got = defects.all_endings(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = defects.Endings(sorted(set(texts)))
+    assert got.chance == want.chance and got.running and want.running
+    model = defects.all_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3))
+    whole = defects.Languages([(lang.strip()[:2].lower(), t) for _, t, lang in docs])
+    assert model.names == whole.names == ["de", "en"] and (model.table == whole.table).all()
+
+
+def test_query_takes_no_sample(spark, monkeypatch):
+    from reportloom.llm import queries
+
+    def sampled(*_):
+        raise AssertionError("a model is fitted on a sample")
+
+    monkeypatch.setattr(defects, "language_sample", sampled)
+    monkeypatch.setattr(defects, "ending_sample", sampled)
+    assert queries.p4_found(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_strange_words_weigh_the_same_in_many_texts():
+    counted = defects.Languages.tally([("en", " ".join(EN)), ("de", " ".join(DE))])
+    few, many = (defects.Languages.of_counts({k: v * n for k, v in counted.items()}) for n in (1000, 100_000))
+    strange = "zanbopertel quirivor xihafa vitorfawen"
+    assert abs(few.likelihoods([strange])[0] - many.likelihoods([strange])[0]).max() < 0.01 * len(strange)
